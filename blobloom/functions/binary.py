@@ -30,6 +30,15 @@ def _column(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once.
+
+    A higher-order function evaluates what its lambda takes from outside for every element;
+    a lambda's own argument is ready.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def u8(blob, offset) -> Column:
     return read_uint(blob, offset, 1)
 
@@ -114,14 +123,8 @@ def wide_index(high, low, variant: str) -> Column:
 
 def unpack_nibbles(blob) -> Column:
     """Array of 4-bit values, high nibble of each byte first."""
-    digits = F.hex(_column(blob))
-    return F.when(
-        F.octet_length(_column(blob)) > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.length(digits)),
-            lambda i: F.conv(F.substring(digits, i, F.lit(1)), 16, 10).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
+    digits = F.regexp_extract_all(F.hex(_column(blob)), F.lit("."), F.lit(0))
+    return F.transform(digits, lambda d: F.conv(d, 16, 10).cast("int"))
 
 
 def pack_nibbles(values) -> Column:

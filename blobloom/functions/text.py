@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binary import _column
+from .binary import _column, let
 
 
 def collapse_space(text) -> Column:
@@ -47,25 +47,24 @@ def extract_pairs(html, pattern: str, label_group: int, value_group: int) -> Col
 
     Labels have their white space collapsed.
     """
-    labels = F.transform(
-        F.regexp_extract_all(_column(html), F.lit(pattern), F.lit(label_group)), collapse_space
-    )
-    values = F.transform(
-        F.regexp_extract_all(_column(html), F.lit(pattern), F.lit(value_group)),
-        lambda v: F.trim(v),
-    )
-    pairs = F.arrays_zip(labels.alias("label"), values.alias("value"))
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))),
-            lambda q: q["label"] == p["label"],
-        ),
-    )
-    return F.map_from_arrays(
-        F.transform(last, lambda p: p["label"]), F.transform(last, lambda p: p["value"])
+    found = F.struct(
+        F.reverse(F.regexp_extract_all(_column(html), F.lit(pattern), F.lit(label_group))).alias("labels"),
+        F.reverse(F.regexp_extract_all(_column(html), F.lit(pattern), F.lit(value_group))).alias("values"),
     )
 
+    def clean(s):
+        return F.struct(
+            F.transform(s["labels"], collapse_space).alias("labels"),
+            F.transform(s["values"], lambda v: F.trim(v)).alias("values"),
+        )
+
+    def last_of_each(s):
+        names = F.array_distinct(s["labels"])
+        value = lambda n: F.element_at(s["values"], F.array_position(s["labels"], n).cast("int"))
+        return F.map_from_arrays(names, F.transform(names, value))
+
+    return let(let(found, clean), last_of_each)
+
 
 def ability_flags(html, tag: str) -> Column:
     """Map heading text -> true for every heading of one tag."""

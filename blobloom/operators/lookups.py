@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..shared import small_rows
 
+# Up to this many ranges are tested in the row itself.
+LITERAL_RANGES = 64
+
 # Size code 0..15 -> tiles, width, height (in tiles).
 SIZE_CODES = tuple(
     (4 * (w - 1) + h - 1, w * h, w, h) for w in range(1, 5) for h in range(1, 5)
@@ -33,7 +36,7 @@ def verify_manifest(actual: DataFrame, expected: DataFrame, name: str, value: st
 
 def identify_signature(blobs: DataFrame, signatures: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """Name of the signature with the same size and checksum; NULL where nothing fits."""
-    known = signatures.select(*keys, name).dropDuplicates(list(keys))
+    known = signatures.groupBy(*keys).agg(F.min(name).alias(name))
     return blobs.join(known, list(keys), "left")
 
 
@@ -106,7 +109,7 @@ def range_lookup(
     A small range table is searched in the row itself. A large one is cut into buckets of
     `width`, and each distinct value meets only the ranges of its own bucket.
     """
-    rows = small_rows(ranges.select(key, low, high), 1_000)
+    rows = small_rows(ranges.select(key, low, high), LITERAL_RANGES)
     if rows is not None:
         hit = F.lit(default)
         for k, lo, hi in sorted(rows, reverse=True):

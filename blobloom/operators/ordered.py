@@ -91,28 +91,28 @@ def scan(
     # One row per (key, piece): what the piece hands to its neighbours.
     totals = [F.coalesce(F.sum(e), F.lit(0)).alias(f"_sum_{n}") for n, e in sums.items()]
     totals += [
-        F.max_by(F.struct(e), F.when(e.isNotNull(), position)).alias(f"_last_{n}")
+        F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), position)).alias(f"_last_{n}")
         for n, e in lasts.items()
     ]
-    totals += [F.max_by(F.struct(e), position).alias(f"_end_{n}") for n, e in before.items()]
-    totals += [F.min_by(F.struct(e), position).alias(f"_start_{n}") for n, e in after.items()]
+    totals += [F.max_by(F.struct(e.alias("v")), position).alias(f"_end_{n}") for n, e in before.items()]
+    totals += [F.min_by(F.struct(e.alias("v")), position).alias(f"_start_{n}") for n, e in after.items()]
     table = df.groupBy(*keys, PIECE).agg(*totals)
 
     ahead = W.partitionBy(*keys).orderBy(PIECE)
     earlier = ahead.rowsBetween(W.unboundedPreceding, -1)
     carry = [F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
     carry += [
-        F.last(f"_last_{n}", ignorenulls=True).over(earlier).getField(0).alias(f"_c_{n}")
+        F.last(f"_last_{n}", ignorenulls=True).over(earlier).getField("v").alias(f"_c_{n}")
         for n in lasts
     ]
-    carry += [F.lag(f"_end_{n}").over(ahead).getField(0).alias(f"_c_{n}") for n in before]
-    carry += [F.lead(f"_start_{n}").over(ahead).getField(0).alias(f"_c_{n}") for n in after]
+    carry += [F.lag(f"_end_{n}").over(ahead).getField("v").alias(f"_c_{n}") for n in before]
+    carry += [F.lead(f"_start_{n}").over(ahead).getField("v").alias(f"_c_{n}") for n in after]
     table = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(PIECE).alias("_k_piece"), *carry)
 
     here = {n: F.coalesce(F.sum(e).over(up_to), F.lit(0)) for n, e in sums.items()}
     here |= {n: F.last(e, ignorenulls=True).over(up_to) for n, e in lasts.items()}
-    here |= {n: F.lag(F.struct(e)).over(local) for n, e in before.items()}
-    here |= {n: F.lead(F.struct(e)).over(local) for n, e in after.items()}
+    here |= {n: F.lag(F.struct(e.alias("v"))).over(local) for n, e in before.items()}
+    here |= {n: F.lead(F.struct(e.alias("v"))).over(local) for n, e in after.items()}
     rows = df.select("*", *[e.alias(f"_h_{n}") for n, e in here.items()])
 
     same = rows[PIECE] == table["_k_piece"]
@@ -123,7 +123,7 @@ def scan(
     result = {n: F.col(f"_h_{n}") + F.col(f"_c_{n}") for n in sums}
     result |= {n: F.coalesce(F.col(f"_h_{n}"), F.col(f"_c_{n}")) for n in lasts}
     result |= {
-        n: F.when(F.col(f"_h_{n}").isNotNull(), F.col(f"_h_{n}").getField(0)).otherwise(F.col(f"_c_{n}"))
+        n: F.when(F.col(f"_h_{n}").isNotNull(), F.col(f"_h_{n}").getField("v")).otherwise(F.col(f"_c_{n}"))
         for n in [*before, *after]
     }
     columns = [c for c in df.columns if keep_pieces or c != PIECE]

@@ -20,15 +20,15 @@ END_MARKER = 0xFFFFFFFF
 READERS = {"u8": u8, "u16be": u16be, "u32be": u32be}
 
 
-def checksum_gate(blobs: DataFrame, blob: str, expected: int, soft: bool = False) -> DataFrame:
+def checksum_gate(blobs: DataFrame, blob: str, expected: int | Column, soft: bool = False) -> DataFrame:
     """Blobs with the expected CRC-32; the soft form keeps all and adds a flag."""
     good = F.crc32(blob) == expected
     return blobs.withColumn("checksum_ok", good) if soft else blobs.where(good)
 
 
-def digest_gate(blobs: DataFrame, blob: str, expected: Sequence[str], soft: bool = False) -> DataFrame:
-    """As `checksum_gate`, with MD5 digests."""
-    good = F.md5(blob).isin(list(expected))
+def digest_gate(blobs: DataFrame, blob: str, expected: str | Column, soft: bool = False) -> DataFrame:
+    """As `checksum_gate`, with an MD5 digest."""
+    good = F.md5(blob) == expected
     return blobs.withColumn("checksum_ok", good) if soft else blobs.where(good)
 
 
@@ -146,7 +146,10 @@ def probe_with_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> Dat
 
 def words_of(blob: str, offset: int, count: Column) -> Column:
     """Array of big-endian 16-bit words."""
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: u16be(blob, i * 2 + offset))
+    digits = F.hex(F.substring(F.col(blob), F.lit(offset + 1), count * 2))
+    return F.transform(
+        F.regexp_extract_all(digits, F.lit(".{4}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("int")
+    )
 
 
 def probe_content_valid(df: DataFrame, words: Column, bound) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 def histogram(df: DataFrame, group: Sequence[str], key: Sequence[str], count: str = "cnt") -> DataFrame:
     """Count per distinct key in each group."""
@@ -248,8 +250,9 @@ def first_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
 
 def sort_by_luminance(palette: DataFrame, group: Sequence[str], index: str, luminance: Column) -> DataFrame:
     """New place of each entry: entry 0 stays, the others follow by ascending luminance."""
-    order = W.partitionBy(*group).orderBy(F.col(index) != 0, luminance, index)
-    return palette.withColumn("place", F.row_number().over(order) - 1)
+    pinned = F.when(F.col(index) == 0, F.lit(-1.0)).otherwise(luminance)
+    placed = numbered(palette.withColumn("_lum", pinned), group, ["_lum", index], "place")
+    return placed.withColumn("place", F.col("place") - 1).drop("_lum")
 
 
 def unique_sorted_limited(df: DataFrame, columns: Sequence[str], most: int = 59) -> DataFrame:

@@ -5,20 +5,23 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binary import let
 from ..shared import cut_lineage, is_small, small_rows
 from .lookups import assign_region
 from .profile import SCORES, spread_of
 
 # A palette index is one byte.
 PALETTE_SIZE = 256
-# Up to this many groups, all pair overlaps are columns of one aggregate.
-WIDE_GROUPS = 20
+# Up to this many groups, a task holds all pair overlaps in one matrix (8 MB).
+MATRIX_GROUPS = 1_000
 
 
 # --- where to cut ---------------------------------------------------------------------------
@@ -178,54 +181,73 @@ def checkerboard(section: Column, columns: int = 3) -> Column:
 
 
 def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str = "cnt", salts: int = 16) -> DataFrame:
-    """For each pair of groups a < b: shared (sum of the smaller counts), common keys, both totals.
+    """For each pair of groups a < b with a common key: shared (sum of the smaller counts),
+    common keys, both totals.
 
-    A few groups become columns: each key is one row, and no pair of rows is ever formed.
-    More groups meet in a join on the key, a key's rows being spread over `salts` parts.
+    Up to MATRIX_GROUPS groups, every task adds its keys up in one square matrix, so that no
+    row is ever made per key and pair. More groups meet in a join on the key, where the rows
+    of one key are spread over `salts` parts.
     """
-    rows = small_rows(hist.select(group).distinct(), WIDE_GROUPS)
+    rows = small_rows(hist.select(group).distinct(), MATRIX_GROUPS)
     if rows is None:
-        return _pair_overlaps_join(hist, group, key, count, salts)
-    names = sorted(r[0] for r in rows if r[0] is not None)
-    kind = dict(hist.dtypes)[group]
-    wide = hist.groupBy(*key).agg(
-        *[F.sum(F.when(F.col(group) == g, F.col(count)).otherwise(0)).alias(f"_g{i}") for i, g in enumerate(names)]
-    )
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    least = {p: F.least(F.col(f"_g{p[0]}"), F.col(f"_g{p[1]}")) for p in pairs}
-    sums = wide.agg(
-        *[F.sum(f"_g{i}").alias(f"_t{i}") for i in range(len(names))],
-        *[F.sum(m).alias(f"_s{i}_{j}") for (i, j), m in least.items()],
-        *[F.count(F.when(m > 0, 1)).alias(f"_n{i}_{j}") for (i, j), m in least.items()],
+        shared = _shared_by_join(hist, group, key, count, salts)
+    else:
+        names = sorted(r[0] for r in rows if r[0] is not None)
+        shared = _shared_by_matrix(hist, group, key, count, names)
+    totals = hist.groupBy(group).agg(F.sum(count).alias("_t"))
+    return (
+        shared.join(totals.select(F.col(group).alias("a"), F.col("_t").alias("total_a")), "a")
+        .join(totals.select(F.col(group).alias("b"), F.col("_t").alias("total_b")), "b")
+        .select("a", "b", "shared", "common_keys", "total_a", "total_b")
     )
-    entries = [
-        F.struct(
-            F.lit(names[i]).cast(kind).alias("a"),
-            F.lit(names[j]).cast(kind).alias("b"),
-            F.col(f"_s{i}_{j}").alias("shared"),
-            F.col(f"_n{i}_{j}").alias("common_keys"),
-            F.col(f"_t{i}").alias("total_a"),
-            F.col(f"_t{j}").alias("total_b"),
+
+
+def _shared_by_matrix(hist: DataFrame, group: str, key: Sequence[str], count: str, names: list) -> DataFrame:
+    kind = dict(hist.dtypes)[group]
+    # A key has one cell per group, so its list of cells is as short as `names`.
+    cells = hist.where(F.col(group).isNotNull()).groupBy(*key, group).agg(F.sum(count).cast("bigint").alias("_c"))
+    place = (F.array_position(F.lit(names).cast(f"array<{kind}>"), F.col(group)) - 1).cast("int")
+    per_key = cells.groupBy(*key).agg(F.collect_list(F.struct(place.alias("g"), F.col("_c").alias("c"))).alias("cells"))
+    width = len(names)
+
+    def add_up(batches):
+        shared = np.zeros((width, width), dtype=np.int64)
+        common = np.zeros((width, width), dtype=np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten()
+            starts = lists.offsets.to_numpy()
+            rows = np.repeat(np.arange(len(lists)), np.diff(starts))
+            dense = np.zeros((len(lists), width), dtype=np.int64)
+            dense[rows, flat.field("g").to_numpy()] = flat.field("c").to_numpy()
+            for g in range(width):
+                mine = dense[dense[:, g] > 0]
+                shared[g] += np.minimum(mine, mine[:, g : g + 1]).sum(axis=0)
+                common[g] += (mine > 0).sum(axis=0)
+        a, b = np.nonzero(np.triu(common, 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(b), pa.array(shared[a, b]), pa.array(common[a, b])], names=["i", "j", "s", "n"]
         )
-        for i, j in pairs
-    ]
-    return sums.select(F.inline(F.array(*entries)))
+
+    parts = per_key.where(F.size("cells") > 1).select("cells").mapInArrow(add_up, "i bigint, j bigint, s bigint, n bigint")
+    sums = parts.groupBy("i", "j").agg(F.sum("s").alias("shared"), F.sum("n").alias("common_keys"))
+    label = F.lit(names).cast(f"array<{kind}>")
+    return sums.select(
+        F.get(label, F.col("i").cast("int")).alias("a"), F.get(label, F.col("j").cast("int")).alias("b"), "shared", "common_keys"
+    )
 
 
-def _pair_overlaps_join(hist: DataFrame, group: str, key: Sequence[str], count: str, salts: int) -> DataFrame:
+def _shared_by_join(hist: DataFrame, group: str, key: Sequence[str], count: str, salts: int) -> DataFrame:
     part = F.pmod(F.xxhash64(group), F.lit(salts)).cast("int")
-    one = hist.select(*key, F.col(group).alias("a"), F.col(count).alias("_ca"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    one = hist.select(*key, F.col(group).alias("a"), F.col(count).alias("_ca"), every.alias("_salt"))
     two = hist.select(*key, F.col(group).alias("b"), F.col(count).alias("_cb"), part.alias("_salt"))
-    shared = (
+    return (
         one.join(two, [*key, "_salt"])
         .where(F.col("a") < F.col("b"))
         .groupBy("a", "b")
         .agg(F.sum(F.least("_ca", "_cb")).alias("shared"), F.count("*").alias("common_keys"))
     )
-    totals = hist.groupBy(group).agg(F.sum(count).alias("_t"))
-    return shared.join(totals.select(F.col(group).alias("a"), F.col("_t").alias("total_a")), "a").join(
-        totals.select(F.col(group).alias("b"), F.col("_t").alias("total_b")), "b"
-    ).select("a", "b", "shared", "common_keys", "total_a", "total_b")
 
 
 def weighted_jaccard(hist: DataFrame, group: str, key: Sequence[str], count: str = "cnt") -> DataFrame:
@@ -315,9 +337,13 @@ def _palette(palette: DataFrame, idx: str, centre: str) -> Column:
 
 
 def _distances(points: DataFrame, vector: str, palette: Column) -> DataFrame:
-    point = F.col(vector).cast("array<double>")
-    ranked = F.transform(F.col("_entries"), lambda p: F.struct(distance(point, p["centre"]).alias("d"), p["idx"].alias("idx")))
-    return points.withColumn("_entries", palette).withColumn("_ranked", ranked).drop("_entries")
+    def rank(s):
+        return F.transform(
+            s["entries"], lambda p: F.struct(distance(s["point"], p["centre"]).alias("d"), p["idx"].alias("idx"))
+        )
+
+    both = F.struct(F.col(vector).cast("array<double>").alias("point"), palette.alias("entries"))
+    return points.withColumn("_ranked", let(both, rank))
 
 
 def nearest(points: DataFrame, vector: str, palette: DataFrame, idx: str = "idx", centre: str = "centre", skip_first: bool = False) -> DataFrame:

@@ -63,7 +63,7 @@ def flatten_nested(df: DataFrame, json: str, schema: str, paths: dict[str, str])
     """Dotted paths out of a JSON text as flat columns."""
     keep = [c for c in df.columns if c != json]
     parsed = df.select(*keep, F.from_json(json, schema).alias("_j"))
-    return parsed.select(*keep, *[F.col(f"_j.{p}").alias(n) for n, p in paths.items()])
+    return parsed.select(*keep, *[F.col(f"_j.{p}").alias(n) for p, n in paths.items()])
 
 
 def json_sidecar(df: DataFrame, key: Sequence[str], columns: Sequence) -> DataFrame:
