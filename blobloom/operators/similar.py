@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binary import let
-from ..shared import cut_lineage, is_small, small_rows
+from ..shared import cut_lineage, small_rows
 from .lookups import assign_region
 from .profile import SCORES, spread_of
 
@@ -328,22 +328,19 @@ def class_centroids(points: DataFrame, label: str, vector: str, idx: str = "idx"
 
 
 def _palette(palette: DataFrame, idx: str, centre: str) -> Column:
-    """The whole palette as one array value (a scalar subquery of at most 256 entries)."""
-    if not is_small(palette, PALETTE_SIZE):
+    """The palette, at most 256 entries, as one array literal."""
+    rows = small_rows(palette.select(idx, centre), PALETTE_SIZE)
+    if rows is None:
         raise ValueError(f"a palette has at most {PALETTE_SIZE} entries")
-    return palette.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(idx).alias("idx"), F.col(centre).alias("centre"))))
-    ).scalar()
+    entries = [F.struct(F.lit(i).alias("idx"), F.lit(list(c)).alias("centre")) for i, c in sorted(rows)]
+    return F.array(*entries)
 
 
 def _distances(points: DataFrame, vector: str, palette: Column) -> DataFrame:
-    def rank(s):
-        return F.transform(
-            s["entries"], lambda p: F.struct(distance(s["point"], p["centre"]).alias("d"), p["idx"].alias("idx"))
-        )
+    def rank(point):
+        return F.transform(palette, lambda p: F.struct(distance(point, p["centre"]).alias("d"), p["idx"].alias("idx")))
 
-    both = F.struct(F.col(vector).cast("array<double>").alias("point"), palette.alias("entries"))
-    return points.withColumn("_ranked", let(both, rank))
+    return points.withColumn("_ranked", let(F.col(vector).cast("array<double>"), rank))
 
 
 def nearest(points: DataFrame, vector: str, palette: DataFrame, idx: str = "idx", centre: str = "centre", skip_first: bool = False) -> DataFrame:
