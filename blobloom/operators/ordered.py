@@ -1,44 +1,78 @@
-"""Running values over ordered rows, in pieces, so that one hot key is not one task.
+"""Running values over ordered rows, without a task that holds all rows of a hot key.
 
-A plain window puts all rows of a key into one task. Here the order column is first cut at
-its approximate quantiles. Each (key, piece) is one window group, its totals are carried to
-the later pieces of the same key through a small table of one row per (key, piece), and the
-carried value is joined back. A key with a third of all rows is so spread over about a third
-of the pieces.
+A window puts all rows of a key into one task. That is right for all keys but the hot ones.
+The rows of hot keys are cut at quantiles of their order column. Each (key, piece) is one
+window group, its totals are carried to the later pieces of its key through a table of one
+row per (key, piece), and the carried value is joined back. Without keys, all rows are cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PIECE = "_piece"
+# A key with more rows than this is cut, and a piece has about as many.
+HOT_ROWS = 1_000_000
+# At most this many hot keys and pieces. A key that is not among the 10,000 largest holds
+# less than a ten-thousandth of all rows.
+MOST = 10_000
 
 
-def cut_points(df: DataFrame, order: Column | str, pieces: int) -> list:
-    """At most pieces - 1 values that cut the order column into about equal parts."""
+@dataclass
+class Pieces:
+    """Hot keys (None if there are no keys at all) and where their rows are cut."""
+
+    hot: list[Row] | None
+    cuts: list = field(default_factory=list)
+
+
+def cut_points(df: DataFrame, order: str, pieces: int) -> list:
+    """At most pieces - 1 values that cut a numeric column into about equal parts."""
     if pieces < 2:
         return []
     shares = [i / pieces for i in range(1, pieces)]
-    column = F.col(order) if isinstance(order, str) else order
-    found = df.select(
-        F.percentile_approx(column, shares, max(10_000, 20 * pieces)).alias("cuts")
-    ).first()["cuts"]
+    found = df.select(F.percentile_approx(order, shares, max(10_000, 10 * pieces)).alias("cuts")).first()["cuts"]
     return sorted(set(found or []))
 
 
-def piece_of(order: Column, cuts: list) -> Column:
-    """Number of cut points at or below the value, by bisection."""
+def find_pieces(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None) -> Pieces:
+    """Look for hot keys, and for the cuts of their rows (one or two jobs on those columns)."""
+    hot_rows = hot_rows or HOT_ROWS
+    if not keys:
+        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Pieces(None, cut_points(df, order, min(count, MOST)))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    hot = counts.orderBy(F.col("_n").desc()).limit(MOST).collect()
+    if not hot:
+        return Pieces([])
+    pieces = min(MOST, -(-sum(r["_n"] for r in hot) // hot_rows))
+    return Pieces(hot, cut_points(_hot_part(df, keys, hot), order, pieces))
+
+
+def _hot_part(df: DataFrame, keys: Sequence[str], hot: list[Row], how: str = "left_semi") -> DataFrame:
+    """Rows of the hot keys, or with left_anti all others. There are at most MOST hot keys."""
+    schema = df.select(*keys).schema
+    table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
+    table = table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & df[k].eqNullSafe(table[f"_hot_{k}"])
+    return df.join(F.broadcast(table), same, how)
+
+
+def piece_of(order: str, cuts: list) -> Column:
+    """Number of cut points at or below the value, by bisection; 0 for NULL."""
     if not cuts:
         return F.lit(0)
-    table = F.lit(cuts)
+    table, value = F.lit(cuts), F.col(order)
 
     def halve(state, _):
         middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
-        right = F.get(table, middle) <= order
+        right = F.get(table, middle) <= value
         return F.when(
             state["low"] < state["high"],
             F.struct(
@@ -49,17 +83,7 @@ def piece_of(order: Column, cuts: list) -> Column:
 
     start = F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
     steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    return F.aggregate(steps, start, halve, lambda s: s["low"])
-
-
-def with_pieces(df: DataFrame, order: Column | str, pieces: int | None = None) -> DataFrame:
-    """Add the piece number of each row; `order` must be a number that grows with the order."""
-    if PIECE in df.columns:
-        return df
-    if pieces is None:
-        pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    column = F.col(order) if isinstance(order, str) else order
-    return df.withColumn(PIECE, piece_of(column, cut_points(df, column, pieces)))
+    return F.coalesce(F.aggregate(steps, start, halve, lambda s: s["low"]), F.lit(0))
 
 
 def scan(
@@ -71,8 +95,8 @@ def scan(
     lasts: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
-    pieces: int | None = None,
-    keep_pieces: bool = False,
+    pieces: Pieces | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add running columns per key, in the given order.
 
@@ -80,54 +104,69 @@ def scan(
     lasts: last value that is not NULL, up to and including the row.
     before, after: value in the previous or next row, NULL at the ends of a key.
     The first order column must be numeric; the order columns must be unique per key.
+    Several scans of the same rows can share their pieces.
     """
-    sums, lasts, before, after = sums or {}, lasts or {}, before or {}, after or {}
-    df = with_pieces(df, order[0], pieces)
     keys, order = list(keys), list(order)
-    position = F.struct(*order)
-    local = W.partitionBy(*keys, PIECE).orderBy(*order)
+    specs = (sums or {}, lasts or {}, before or {}, after or {})
+    pieces = pieces or find_pieces(df, keys, order[0], hot_rows)
+    if pieces.hot is None:
+        return _scan_pieces(df, keys, order, specs, pieces.cuts)
+    if not pieces.hot:
+        return _scan_whole(df, keys, order, specs)
+    cold = _scan_whole(_hot_part(df, keys, pieces.hot, "left_anti"), keys, order, specs)
+    return cold.unionByName(_scan_pieces(_hot_part(df, keys, pieces.hot), keys, order, specs, pieces.cuts))
+
+
+def _scan_whole(df: DataFrame, keys: list, order: list, specs: tuple) -> DataFrame:
+    sums, lasts, before, after = specs
+    w = W.partitionBy(*keys).orderBy(*order)
+    up_to = w.rowsBetween(W.unboundedPreceding, 0)
+    new = {n: F.coalesce(F.sum(e).over(up_to), F.lit(0)) for n, e in sums.items()}
+    new |= {n: F.last(e, ignorenulls=True).over(up_to) for n, e in lasts.items()}
+    new |= {n: F.lag(e).over(w) for n, e in before.items()}
+    new |= {n: F.lead(e).over(w) for n, e in after.items()}
+    return df.select("*", *[e.alias(n) for n, e in new.items()])
+
+
+def _scan_pieces(df: DataFrame, keys: list, order: list, specs: tuple, cuts: list) -> DataFrame:
+    sums, lasts, before, after = specs
+    # One struct for the keys, as two structs with NULL inside are equal; so the join below
+    # keeps the partitioning of the window.
+    part = ["_key", "_piece"]
+    df_in = df
+    df = df.select("*", F.struct(F.lit(0), *keys).alias("_key"), piece_of(order[0], cuts).alias("_piece"))
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+    # What a piece hands to its neighbours.
+    totals = [F.coalesce(F.sum(e), F.lit(0)).alias(f"_t_{n}") for n, e in sums.items()]
+    totals += [F.max_by(e, F.when(e.isNotNull(), position)).alias(f"_t_{n}") for n, e in lasts.items()]
+    totals += [F.max_by(e, position).alias(f"_t_{n}") for n, e in before.items()]
+    totals += [F.min_by(e, position).alias(f"_t_{n}") for n, e in after.items()]
+    table = df.groupBy(*part).agg(*totals)
+
+    along = W.partitionBy("_key").orderBy("_piece")
+    earlier = along.rowsBetween(W.unboundedPreceding, -1)
+    carry = {n: F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)) for n in sums}
+    carry |= {n: F.last(f"_t_{n}", ignorenulls=True).over(earlier) for n in lasts}
+    carry |= {n: F.lag(f"_t_{n}").over(along) for n in before}
+    carry |= {n: F.lead(f"_t_{n}").over(along) for n in after}
+    table = table.select(*part, *[e.alias(f"_c_{n}") for n, e in carry.items()])
+
+    local = W.partitionBy(*part).orderBy(*order)
     up_to = local.rowsBetween(W.unboundedPreceding, 0)
-
-    # One row per (key, piece): what the piece hands to its neighbours.
-    totals = [F.coalesce(F.sum(e), F.lit(0)).alias(f"_sum_{n}") for n, e in sums.items()]
-    totals += [
-        F.max_by(F.struct(e.alias("v")), F.when(e.isNotNull(), position)).alias(f"_last_{n}")
-        for n, e in lasts.items()
-    ]
-    totals += [F.max_by(F.struct(e.alias("v")), position).alias(f"_end_{n}") for n, e in before.items()]
-    totals += [F.min_by(F.struct(e.alias("v")), position).alias(f"_start_{n}") for n, e in after.items()]
-    table = df.groupBy(*keys, PIECE).agg(*totals)
-
-    ahead = W.partitionBy(*keys).orderBy(PIECE)
-    earlier = ahead.rowsBetween(W.unboundedPreceding, -1)
-    carry = [F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums]
-    carry += [
-        F.last(f"_last_{n}", ignorenulls=True).over(earlier).getField("v").alias(f"_c_{n}")
-        for n in lasts
-    ]
-    carry += [F.lag(f"_end_{n}").over(ahead).getField("v").alias(f"_c_{n}") for n in before]
-    carry += [F.lead(f"_start_{n}").over(ahead).getField("v").alias(f"_c_{n}") for n in after]
-    table = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(PIECE).alias("_k_piece"), *carry)
-
     here = {n: F.coalesce(F.sum(e).over(up_to), F.lit(0)) for n, e in sums.items()}
     here |= {n: F.last(e, ignorenulls=True).over(up_to) for n, e in lasts.items()}
     here |= {n: F.lag(F.struct(e.alias("v"))).over(local) for n, e in before.items()}
     here |= {n: F.lead(F.struct(e.alias("v"))).over(local) for n, e in after.items()}
-    rows = df.select("*", *[e.alias(f"_h_{n}") for n, e in here.items()])
-
-    same = rows[PIECE] == table["_k_piece"]
-    for k in keys:
-        same = same & rows[k].eqNullSafe(table[f"_k_{k}"])
-    joined = rows.join(table, same)
+    rows = df.select("*", *[e.alias(f"_h_{n}") for n, e in here.items()]).join(table, part)
 
     result = {n: F.col(f"_h_{n}") + F.col(f"_c_{n}") for n in sums}
     result |= {n: F.coalesce(F.col(f"_h_{n}"), F.col(f"_c_{n}")) for n in lasts}
     result |= {
-        n: F.when(F.col(f"_h_{n}").isNotNull(), F.col(f"_h_{n}").getField("v")).otherwise(F.col(f"_c_{n}"))
+        n: F.when(F.col(f"_h_{n}").isNotNull(), F.col(f"_h_{n}")["v"]).otherwise(F.col(f"_c_{n}"))
         for n in [*before, *after]
     }
-    columns = [c for c in df.columns if keep_pieces or c != PIECE]
-    return joined.select(*[rows[c] for c in columns], *[e.alias(n) for n, e in result.items()])
+    return rows.select(*df_in.columns, *[e.alias(n) for n, e in result.items()])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn", **options) -> DataFrame:

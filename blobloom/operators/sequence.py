@@ -9,20 +9,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import cut_lineage
-from .ordered import numbered, scan, with_pieces
+from .ordered import find_pieces, numbered, scan
 
 BLOCK = 1024
 
 
-def record_spans(df: DataFrame, keys: Sequence[str], offset: str, size: int = 1) -> DataFrame:
+def record_spans(df: DataFrame, keys: Sequence[str], offset: str, size: int = 1, hot_rows: int | None = None) -> DataFrame:
     """(start, next, count) for each table entry and its successor; the last one drops out."""
-    spans = scan(df, keys, [offset], after={"next": F.col(offset)})
+    spans = scan(df, keys, [offset], after={"next": F.col(offset)}, hot_rows=hot_rows)
     return spans.where(F.col("next").isNotNull()).withColumn(
         "count", F.floor((F.col("next") - F.col(offset)) / size).cast("bigint")
     )
 
 
-def gap_groups(df: DataFrame, keys: Sequence[str], position: str, gap: int, length=0, tie: Sequence[str] = ()) -> DataFrame:
+def gap_groups(
+    df: DataFrame, keys: Sequence[str], position: str, gap: int, length=0, tie: Sequence[str] = (), hot_rows: int | None = None
+) -> DataFrame:
     """Group hits that are less than `gap` after the hit before them.
 
     Per group: start, end (last hit and its length), members, and the end of a preview that
@@ -30,9 +32,10 @@ def gap_groups(df: DataFrame, keys: Sequence[str], position: str, gap: int, leng
     """
     order = [position, *tie]
     length = length if isinstance(length, Column) else F.lit(length)
-    hits = scan(with_pieces(df, position), keys, order, before={"_previous": F.col(position)}, keep_pieces=True)
+    pieces = find_pieces(df, keys, position, hot_rows)
+    hits = scan(df, keys, order, before={"_previous": F.col(position)}, pieces=pieces)
     opens = F.col("_previous").isNull() | (F.col(position) - F.col("_previous") >= gap)
-    hits = scan(hits, keys, order, sums={"group": opens.cast("bigint")})
+    hits = scan(hits, keys, order, sums={"group": opens.cast("bigint")}, pieces=pieces)
     return (
         hits.groupBy(*keys, "group")
         .agg(
@@ -45,7 +48,8 @@ def gap_groups(df: DataFrame, keys: Sequence[str], position: str, gap: int, leng
 
 
 def segment_by_separator(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], is_separator: Column, run: int, keep_tail: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], is_separator: Column, run: int, keep_tail: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Sections between runs of at least `run` separators, as (first, last+1) row numbers.
 
@@ -54,9 +58,7 @@ def segment_by_separator(
     """
     keys = list(keys)
     data = (~is_separator).cast("bigint")
-    rows = scan(
-        with_pieces(df, order[0]), keys, order, sums={"_pos": F.lit(1).cast("bigint"), "_data": data}
-    )
+    rows = scan(df, keys, order, sums={"_pos": F.lit(1).cast("bigint"), "_data": data}, hot_rows=hot_rows)
     # Separators of one run share the number of data rows before them.
     runs = (
         rows.where(is_separator)
@@ -68,7 +70,7 @@ def segment_by_separator(
         ends = rows.groupBy(*keys).agg(F.max("_pos").alias("_from"), F.max("_data").alias("_data"))
         tail = ends.select(*keys, (F.col("_data") + 1).alias("_data"), "_from", F.col("_from").alias("_to"))
         runs = runs.withColumn("_tail", F.lit(False)).unionByName(tail.withColumn("_tail", F.lit(True)))
-    sections = scan(runs, keys, ["_from", "_to"], before={"_start": F.col("_to")})
+    sections = scan(runs, keys, ["_from", "_to"], before={"_start": F.col("_to")}, hot_rows=hot_rows)
     sections = sections.withColumn("_start", F.coalesce("_start", F.lit(0)).cast("bigint"))
     if keep_tail:
         sections = sections.where(~F.col("_tail") | (F.col("_start") < F.col("_from")))
@@ -86,9 +88,9 @@ def take_until_sentinel(df: DataFrame, keys: Sequence[str], position: str, is_se
     )
 
 
-def sticky_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], setter: Column, default, out: str = "state") -> DataFrame:
+def sticky_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], setter: Column, default, out: str = "state", hot_rows: int | None = None) -> DataFrame:
     """Value of the last setter so far; `setter` is NULL in rows that set nothing."""
-    rows = scan(df, keys, order, lasts={out: setter})
+    rows = scan(df, keys, order, lasts={out: setter}, hot_rows=hot_rows)
     return rows.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 
@@ -100,7 +102,8 @@ def _then(first: Column, second: Column) -> Column:
 
 
 def bounded_accumulate(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: Column, low: int, high: int, start: int, out: str = "total"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: Column, low: int, high: int, start: int, out: str = "total",
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Sum per key that is cut to [low, high] after every step.
 
@@ -109,7 +112,7 @@ def bounded_accumulate(
     """
     keys = list(keys)
     bound = [F.lit(v).cast("bigint").alias(n) for v, n in ((low, "low"), (high, "high"))]
-    steps = numbered(df, keys, order, "_rn").select(
+    steps = numbered(df, keys, order, "_rn", hot_rows=hot_rows).select(
         *keys, (F.col("_rn") - 1).alias("_rn"), F.struct(delta.cast("bigint").alias("add"), *bound).alias("step")
     )
     # Four levels hold 1024^4 rows per key; from the second on the data is tiny.

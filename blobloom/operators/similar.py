@@ -188,6 +188,8 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
     row is ever made per key and pair. More groups meet in a join on the key, where the rows
     of one key are spread over `salts` parts.
     """
+    # Written once, as it is read for the groups, the overlaps and the totals.
+    hist = cut_lineage(hist)
     rows = small_rows(hist.select(group).distinct(), MATRIX_GROUPS)
     if rows is None:
         shared = _shared_by_join(hist, group, key, count, salts)

@@ -7,7 +7,7 @@ from ..operators import search as se
 from ..operators.profile import histogram
 from ..operators.sequence import context_window, offset_from_end
 from ..operators.similar import pair_overlaps
-from ..sources.blobs import asset_paths, text_blobs
+from ..sources.blobs import asset_paths, spread, text_blobs
 from .registry import cents, query
 from .sources import document_blobs
 
@@ -316,7 +316,8 @@ TOKENS = "tokens AS (SELECT doc_id, lang, source, unnest(string_split(text, ' ')
 
 def tokens(t):
     words = F.explode(F.split("text", " ")).alias("token")
-    return t.documents.select("doc_id", "lang", "source", words).where("token <> ''")
+    docs = spread(t.documents.select("doc_id", "lang", "source", "text"), "doc_id")
+    return docs.select("doc_id", "lang", "source", words).where("token <> ''")
 
 
 @query(

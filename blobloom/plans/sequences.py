@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import sequence as sq
 from ..operators.ordered import numbered, scan
 from ..streaming import streams as st
-from .registry import cents, micros, query
+from .registry import ORACLES, cents, micros, query
 from .sources import document_blobs
 
 USER = ["user_id"]
@@ -162,12 +162,33 @@ def scan_nonoverlapping(t):
 )
 def row_numbers(t):
     kind = F.col("event_type")
-    rows = scan(
-        numbered(t.events, USER, ORDER, "rn", keep_pieces=True), USER, ORDER, before={"before": kind}, after={"after": kind}
-    )
+    rows = scan(t.events, USER, ORDER, before={"before": kind}, after={"after": kind})
+    rows = numbered(rows, USER, ORDER)
     return rows.select("user_id", "event_id", "rn", "before", "after")
 
 
+# --- the same with every user treated as a hot key ------------------------------------------
+
+
+def _hot(name: str, sql_of: str, run) -> None:
+    query(name, ORACLES[sql_of])(run)
+
+
+_hot("wn02_gap_groups_hot", "wn02_gap_groups", lambda t: sq.gap_groups(
+    timed(t), USER, "t", 4 * 3600 * 1_000_000, 60_000_000, tie=["event_id"], hot_rows=40
+))
+_hot("wn03_segment_keep_tail_hot", "wn03_segment_keep_tail", lambda t: sq.segment_by_separator(
+    t.events, USER, ORDER, F.col("event_type") == "error", 2, keep_tail=True, hot_rows=40
+))
+_hot("wn05_sticky_state_hot", "wn05_sticky_state", lambda t: sq.sticky_state(
+    t.events.select("user_id", "event_id", F.when(F.col("event_type") == "purchase", cents("value")).alias("_set")),
+    USER, ORDER, F.col("_set"), -1, hot_rows=40,
+).drop("_set"))
+_hot("wn06_bounded_accumulate_hot", "wn06_bounded_accumulate", lambda t: sq.bounded_accumulate(
+    t.events, USER, ORDER, cents("value") % 2001 - 1000, -8192, 8191, 8192, hot_rows=40
+))
+
+
 # --- streams --------------------------------------------------------------------------------
 
 

@@ -11,7 +11,8 @@ from .registry import Tables, cents, query
 
 
 def document_blobs(t: Tables, *more: str, min_length: int = 1):
-    return bl.text_blobs(t.documents, "text", min_length=min_length).select("doc_id", *more, "content")
+    docs = bl.text_blobs(bl.spread(t.documents.select("doc_id", *more, "text"), "doc_id"), "text", min_length=min_length)
+    return docs.select("doc_id", *more, "content")
 
 
 @query(

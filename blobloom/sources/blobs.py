@@ -16,7 +16,16 @@ def read_blobs(spark: SparkSession, path: str, glob: str = "*", min_length: int
 
 def text_blobs(df: DataFrame, text: str, out: str = "content", min_length: int = 0) -> DataFrame:
     """The UTF-8 bytes of a text column as a blob column."""
-    return df.withColumn(out, F.encode(text, "UTF-8")).where(F.octet_length(out) >= min_length)
+    return df.where(F.octet_length(text) >= min_length).withColumn(out, F.encode(text, "UTF-8"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More and smaller partitions for work that makes thousands of rows of each blob.
+
+    Only a scan of fewer splits than two per core is moved; that is little data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
 
 
 def file_name(path: Column) -> Column:
