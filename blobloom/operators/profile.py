@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
 from .ordered import numbered
 
 
@@ -135,7 +136,8 @@ def extents(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def usage_stats(df: DataFrame, group: Sequence[str], key: Sequence[str], k: int = 5) -> DataFrame:
     """The k most frequent keys per group, and the group's rounded share of all rows."""
-    hist = histogram(df, group, key)
+    # Written once, as it is read for the keys, the groups and the total.
+    hist = written(histogram(df, group, key), "histogram")
     sizes = hist.groupBy(*group).agg(F.sum("cnt").alias("group_rows"))
     everything = sizes.agg(F.sum("group_rows")).scalar()
     shares = sizes.withColumn("percent", F.floor(F.col("group_rows") * 100 / everything + 0.5).cast("bigint"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut_lineage
+from ..shared import written
 from .ordered import scan
 
 # Rating code -> rating.
@@ -26,7 +26,7 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     sees the whole table. A row without a value has no rank.
     """
     # Written once, as it is read for the cuts, the totals and the numbers.
-    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")))
+    counts = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")))
     below = scan(counts, [], [value], sums={"_upto": F.col("_n")})
     rows = counts.agg(F.sum("_n")).scalar()
     rank = (F.col("_upto") - F.col("_n")) / F.greatest(rows - 1, F.lit(1))

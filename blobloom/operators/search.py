@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import is_small
+from ..shared import is_small, written
 
 GRAM = 16
 MAX_STRIDE = 64
@@ -48,10 +48,12 @@ def search_patterns(
         .select(blob_id, "_key", (F.col("_at") - F.col("_shift")).alias("position"))
         .where(F.col("position") >= 0)
     )
-    # The pattern travels with the few candidates, the blob is read once more to verify.
+    # The blobs are read once more to verify; they only move if the candidates are many.
+    candidates = written(candidates, "candidates")
     wanted = candidates.join(unique, "_key")
+    wanted = F.broadcast(wanted) if is_small(candidates, 100_000) else wanted
     same = F.expr("substring(_content, position + 1, octet_length(_bytes)) = _bytes")
-    found = wanted.join(texts, blob_id).where(same).select(blob_id, "_key", "position")
+    found = texts.join(wanted, blob_id).where(same).select(blob_id, "_key", "position")
     named = ids.select(pattern_id, F.sha2("_bytes", 256).alias("_key"))
     return found.join(named, "_key").select(blob_id, pattern_id, "position")
 

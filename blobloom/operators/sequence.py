@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shared import cut_lineage
+from ..shared import written
 from .ordered import find_pieces, numbered, scan
 
 BLOCK = 1024
@@ -139,7 +139,7 @@ def bounded_accumulate(
 def dictionary_encode(df: DataFrame, key: Sequence[str], order: str, out: str = "code") -> DataFrame:
     """Distinct keys with dense codes from 0 in the order of their first appearance."""
     # Written once, because both the cut points and the numbering read it.
-    firsts = cut_lineage(
+    firsts = written(
         df.groupBy(*key).agg(F.min(order).alias("first_at"), F.count("*").alias("uses"))
     )
     coded = numbered(firsts, [], ["first_at", *key], out)
@@ -152,7 +152,8 @@ def composite_layers(records: DataFrame, cells: Sequence[str], layer: Sequence[s
     With a palette number, a visible value becomes value + 16 * palette.
     """
     shown = F.col(value) if palette is None else F.col(value) + palette * 16
-    top = F.max_by(shown, F.when(F.col(value) != 0, F.struct(*layer)))
+    order = F.col(layer[0]) if len(layer) == 1 else F.struct(*layer)
+    top = F.max_by(shown, F.when(F.col(value) != 0, order))
     visible = F.max((F.col(value) != 0).cast("int")) == 1
     return records.groupBy(*cells).agg(F.when(visible, top).otherwise(F.lit(0)).alias("shown"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.binary import let
-from ..shared import cut_lineage, small_rows
+from ..shared import small_rows, written
 from .lookups import assign_region
 from .profile import SCORES, spread_of
 
@@ -189,7 +189,7 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
     of one key are spread over `salts` parts.
     """
     # Written once, as it is read for the groups, the overlaps and the totals.
-    hist = cut_lineage(hist)
+    hist = written(hist, "histogram")
     rows = small_rows(hist.select(group).distinct(), MATRIX_GROUPS)
     if rows is None:
         shared = _shared_by_join(hist, group, key, count, salts)
@@ -253,18 +253,24 @@ def _shared_by_join(hist: DataFrame, group: str, key: Sequence[str], count: str,
 
 
 def weighted_jaccard(hist: DataFrame, group: str, key: Sequence[str], count: str = "cnt") -> DataFrame:
-    """Similarity of each pair of groups; NULL if both are empty."""
+    """Similarity of each pair of groups with a common key (that of all others is 0)."""
     pairs = pair_overlaps(hist, group, key, count)
     union = F.col("total_a") + F.col("total_b") - F.col("shared")
     return pairs.select("a", "b", F.try_divide(F.col("shared"), union).alias("similarity"))
 
 
 def cohesion(similarity: DataFrame, assignment: DataFrame, group: str, cluster: str) -> DataFrame:
-    """Mean similarity of the pairs inside one cluster; 0 without such a pair."""
+    """Mean similarity of the pairs inside one cluster; 0 without such a pair.
+
+    A pair that is not in the table has nothing in common and counts as 0.
+    """
     a = assignment.select(F.col(group).alias("a"), F.col(cluster).alias("_ca"))
     b = assignment.select(F.col(group).alias("b"), F.col(cluster).alias("_cb"))
     inside = similarity.join(a, "a").join(b, "b").where(F.col("_ca") == F.col("_cb"))
-    return inside.agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("cohesion"))
+    n = F.col("_n")
+    sizes = assignment.groupBy(cluster).agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(n * (n - 1) / 2)).scalar()
+    return inside.agg(F.coalesce(F.try_divide(F.sum("similarity"), pairs), F.lit(0.0)).alias("cohesion"))
 
 
 def _matrix(similarity: DataFrame, sections: int) -> list[list[float]]:
@@ -416,23 +422,22 @@ def diverse_topk(hist: DataFrame, group: Sequence[str], key: str, value: str, mi
     stays too close, so this is the greedy order without a loop over a group's rows.
     """
     group = list(group)
-    rank = W.partitionBy(*group).orderBy(F.col(count).desc(), key)
+    rank = W.partitionBy(*group).orderBy("e")
     entry = F.struct((-F.col(count)).alias("order"), F.col(key).alias("key"), F.col(value).alias("value"))
-    pool = cut_lineage(hist.select(*group, entry.alias("e")))
-    first = hist.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= keep)
-    chosen = first.groupBy(*group).agg(F.array_sort(F.collect_list(entry)).alias("chosen"))
+    pool = written(hist.select(*group, entry.alias("e")), "pool")
+    first = pool.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= keep)
+    chosen = first.groupBy(*group).agg(F.array_sort(F.collect_list("e")).alias("chosen"))
     for _ in range(n - keep):
         far = F.forall("chosen", lambda c: F.abs(c["value"] - F.col("e.value")) >= min_distance)
         extra = pool.join(chosen, group).where(far).groupBy(*group).agg(F.min("e").alias("_e"))
-        chosen = cut_lineage(
+        chosen = written(
             chosen.join(extra, group, "left").select(
                 *group,
                 F.when(F.col("_e").isNull(), F.col("chosen")).otherwise(F.array_append("chosen", F.col("_e"))).alias("chosen"),
             )
         )
     rest = pool.join(chosen, group).where(~F.array_contains("chosen", F.col("e")))
-    fill_rank = W.partitionBy(*group).orderBy("e")
-    fill = rest.withColumn("_r", F.row_number().over(fill_rank)).where(F.col("_r") <= n)
+    fill = rest.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n)
     picked = chosen.select(*group, F.posexplode("chosen").alias("place", "e"))
     spare = fill.where(F.col("_r") <= n - F.size("chosen")).select(
         *group, (F.size("chosen") + F.col("_r") - 1).alias("place"), "e"

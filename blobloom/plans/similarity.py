@@ -83,7 +83,7 @@ def weighted_jaccard(t):
 
 @query(
     "ml06_cohesion",
-    f"WITH {JACCARD} SELECT {sql_round('coalesce(avg(similarity), 0)')} AS cohesion FROM jaccard WHERE length(a) = length(b)",
+    f"WITH {JACCARD} SELECT {sql_round('coalesce(sum(similarity) / (SELECT sum(n * (n - 1) / 2) FROM (SELECT count(DISTINCT source) AS n FROM documents GROUP BY length(source))), 0)')} AS cohesion FROM jaccard WHERE length(a) = length(b)",
 )
 def cohesion(t):
     pairs = sm.weighted_jaccard(token_counts(t), "source", ["token"])

@@ -31,12 +31,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def written(df: DataFrame, label: str = "rows") -> DataFrame:
+    """The same rows, written once to the shared folder.
+
+    For what is read several times: it is not computed again, it survives the loss of any
+    executor, and Spark knows its size for the joins that follow.
+    """
+    spark = df.sparkSession
+    folder = new_folder(spark, label)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:

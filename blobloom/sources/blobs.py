@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def read_blobs(spark: SparkSession, path: str, glob: str = "*", min_length: int = 0) -> DataFrame:
     """Whole files as (path, length, content); shorter files are left out."""
@@ -93,6 +95,8 @@ def snapshot_digests(blobs: DataFrame, name: str, blob: str) -> DataFrame:
 
 def asset_paths(matches: DataFrame, folder: Column, stem: Column, extension: Column, per: Sequence[str], position: str) -> DataFrame:
     """Output path of each match; a name with several matches gets the offset in its name."""
+    # Written once, as the search behind it is dear and the matches are read twice.
+    matches = written(matches, "matches")
     counts = matches.groupBy(*per).agg(F.count("*").alias("_n"))
     at = F.format_string("_0x%08X", F.col(position))
     name = F.concat(stem, F.when(F.col("_n") > 1, at).otherwise(""), extension)
