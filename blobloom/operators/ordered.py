@@ -15,19 +15,30 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 # A key with more rows than this is cut, and a piece has about as many.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 4_000_000
 # At most this many hot keys and pieces. A key that is not among the 10,000 largest holds
 # less than a ten-thousandth of all rows.
 MOST = 10_000
+# Up to this many cuts are simply compared one by one.
+FEW = 64
 
 
 @dataclass
-class Pieces:
-    """Hot keys (None if there are no keys at all) and where their rows are cut."""
+class Step:
+    """Running columns that one pass over the ordered rows adds.
+
+    sums: running total up to and including the row.
+    lasts: last value that is not NULL, up to and including the row.
+    before, after: value in the previous or next row, NULL at the ends of a key.
+    """
 
-    hot: list[Row] | None
-    cuts: list = field(default_factory=list)
+    sums: dict[str, Column] = field(default_factory=dict)
+    lasts: dict[str, Column] = field(default_factory=dict)
+    before: dict[str, Column] = field(default_factory=dict)
+    after: dict[str, Column] = field(default_factory=dict)
 
 
 def cut_points(df: DataFrame, order: str, pieces: int) -> list:
@@ -39,22 +50,14 @@ def cut_points(df: DataFrame, order: str, pieces: int) -> list:
     return sorted(set(found or []))
 
 
-def find_pieces(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None) -> Pieces:
-    """Look for hot keys, and for the cuts of their rows (one or two jobs on those columns)."""
-    hot_rows = hot_rows or HOT_ROWS
-    if not keys:
-        count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return Pieces(None, cut_points(df, order, min(count, MOST)))
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> list[Row]:
+    """The at most MOST largest keys of more than `hot_rows` rows, with their counts."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    hot = counts.orderBy(F.col("_n").desc()).limit(MOST).collect()
-    if not hot:
-        return Pieces([])
-    pieces = min(MOST, -(-sum(r["_n"] for r in hot) // hot_rows))
-    return Pieces(hot, cut_points(_hot_part(df, keys, hot), order, pieces))
+    return counts.orderBy(F.col("_n").desc()).limit(MOST).collect()
 
 
-def _hot_part(df: DataFrame, keys: Sequence[str], hot: list[Row], how: str = "left_semi") -> DataFrame:
-    """Rows of the hot keys, or with left_anti all others. There are at most MOST hot keys."""
+def part_of(df: DataFrame, keys: Sequence[str], hot: list[Row], how: str) -> DataFrame:
+    """Rows of the hot keys (left_semi) or all others (left_anti); hot keys are at most MOST."""
     schema = df.select(*keys).schema
     table = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
     table = table.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
@@ -65,10 +68,11 @@ def _hot_part(df: DataFrame, keys: Sequence[str], hot: list[Row], how: str = "le
 
 
 def piece_of(order: str, cuts: list) -> Column:
-    """Number of cut points at or below the value, by bisection; 0 for NULL."""
-    if not cuts:
-        return F.lit(0)
-    table, value = F.lit(cuts), F.col(order)
+    """Number of cut points at or below the value, by bisection if they are many; 0 for NULL."""
+    value = F.col(order)
+    if len(cuts) <= FEW:
+        return sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    table = F.lit(cuts)
 
     def halve(state, _):
         middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
@@ -86,55 +90,51 @@ def piece_of(order: str, cuts: list) -> Column:
     return F.coalesce(F.aggregate(steps, start, halve, lambda s: s["low"]), F.lit(0))
 
 
-def scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    sums: dict[str, Column] | None = None,
-    lasts: dict[str, Column] | None = None,
-    before: dict[str, Column] | None = None,
-    after: dict[str, Column] | None = None,
-    pieces: Pieces | None = None,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """Add running columns per key, in the given order.
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *steps: Step, hot_rows: int | None = None) -> DataFrame:
+    """Add the running columns of each step per key, in the given order.
 
-    sums: running total up to and including the row.
-    lasts: last value that is not NULL, up to and including the row.
-    before, after: value in the previous or next row, NULL at the ends of a key.
-    The first order column must be numeric; the order columns must be unique per key.
-    Several scans of the same rows can share their pieces.
+    A later step may use the columns of an earlier one. The first order column must be
+    numeric; the order columns must be unique per key. Rows of hot keys are written once,
+    as they are read for the cuts, the totals and the result.
     """
     keys, order = list(keys), list(order)
-    specs = (sums or {}, lasts or {}, before or {}, after or {})
-    pieces = pieces or find_pieces(df, keys, order[0], hot_rows)
-    if pieces.hot is None:
-        return _scan_pieces(df, keys, order, specs, pieces.cuts)
-    if not pieces.hot:
-        return _scan_whole(df, keys, order, specs)
-    cold = _scan_whole(_hot_part(df, keys, pieces.hot, "left_anti"), keys, order, specs)
-    return cold.unionByName(_scan_pieces(_hot_part(df, keys, pieces.hot), keys, order, specs, pieces.cuts))
-
-
-def _scan_whole(df: DataFrame, keys: list, order: list, specs: tuple) -> DataFrame:
-    sums, lasts, before, after = specs
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys:
+        return _scan_pieces(df, keys, order, steps, cut_points(df, order[0], min(MOST, least)))
+    hot_rows = hot_rows or HOT_ROWS
+    hot = hot_keys(df, keys, hot_rows)
+    if not hot:
+        return _scan_whole(df, keys, order, steps)
+    rows = written(part_of(df, keys, hot, "left_semi"), "hot")
+    pieces = min(MOST, max(least, -(-sum(r["_n"] for r in hot) // hot_rows)))
+    result = _scan_pieces(rows, keys, order, steps, cut_points(rows, order[0], pieces))
+    return _scan_whole(part_of(df, keys, hot, "left_anti"), keys, order, steps).unionByName(result)
+
+
+def _scan_whole(df: DataFrame, keys: list, order: list, steps: Sequence[Step]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*order)
     up_to = w.rowsBetween(W.unboundedPreceding, 0)
-    new = {n: F.coalesce(F.sum(e).over(up_to), F.lit(0)) for n, e in sums.items()}
-    new |= {n: F.last(e, ignorenulls=True).over(up_to) for n, e in lasts.items()}
-    new |= {n: F.lag(e).over(w) for n, e in before.items()}
-    new |= {n: F.lead(e).over(w) for n, e in after.items()}
-    return df.select("*", *[e.alias(n) for n, e in new.items()])
+    for step in steps:
+        new = {n: F.coalesce(F.sum(e).over(up_to), F.lit(0)) for n, e in step.sums.items()}
+        new |= {n: F.last(e, ignorenulls=True).over(up_to) for n, e in step.lasts.items()}
+        new |= {n: F.lag(e).over(w) for n, e in step.before.items()}
+        new |= {n: F.lead(e).over(w) for n, e in step.after.items()}
+        df = df.select("*", *[e.alias(n) for n, e in new.items()])
+    return df
+
+
+def _scan_pieces(df: DataFrame, keys: list, order: list, steps: Sequence[Step], cuts: list) -> DataFrame:
+    # One struct for the keys, as two structs with NULL inside are equal; so the joins keep
+    # the partitioning of the windows.
+    df = df.select("*", F.struct(F.lit(0), *keys).alias("_key"), piece_of(order[0], cuts).alias("_piece"))
+    for i, step in enumerate(steps):
+        df = _step_pieces(written(df, "step") if i else df, order, step)
+    return df.drop("_key", "_piece")
 
 
-def _scan_pieces(df: DataFrame, keys: list, order: list, specs: tuple, cuts: list) -> DataFrame:
-    sums, lasts, before, after = specs
-    # One struct for the keys, as two structs with NULL inside are equal; so the join below
-    # keeps the partitioning of the window.
+def _step_pieces(df: DataFrame, order: list, step: Step) -> DataFrame:
+    sums, lasts, before, after = step.sums, step.lasts, step.before, step.after
     part = ["_key", "_piece"]
-    df_in = df
-    df = df.select("*", F.struct(F.lit(0), *keys).alias("_key"), piece_of(order[0], cuts).alias("_piece"))
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     # What a piece hands to its neighbours.
@@ -166,9 +166,9 @@ def _scan_pieces(df: DataFrame, keys: list, order: list, specs: tuple, cuts: lis
         n: F.when(F.col(f"_h_{n}").isNotNull(), F.col(f"_h_{n}")["v"]).otherwise(F.col(f"_c_{n}"))
         for n in [*before, *after]
     }
-    return rows.select(*df_in.columns, *[e.alias(n) for n, e in result.items()])
+    return rows.select(*df.columns, *[e.alias(n) for n, e in result.items()])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn", **options) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rn", hot_rows: int | None = None) -> DataFrame:
     """Row numbers from 1 per key (or over all rows if there is no key)."""
-    return scan(df, keys, order, sums={out: F.lit(1).cast("bigint")}, **options)
+    return scan(df, keys, order, Step(sums={out: F.lit(1).cast("bigint")}), hot_rows=hot_rows)

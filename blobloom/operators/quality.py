@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import scan
+from .ordered import Step, scan
 
 
 def nearest_valid(value: Column, valid: Sequence[float]) -> Column:
@@ -51,7 +51,7 @@ def expect(df: DataFrame, rules: dict[str, Column], abort: bool = False) -> Data
 
 def layout_checks(df: DataFrame, keys: Sequence[str], start: str, stop: str) -> DataFrame:
     """Sections that begin before the one in front of them has ended."""
-    follow = scan(df, keys, [start, stop], before={"_until": F.col(stop)})
+    follow = scan(df, keys, [start, stop], Step(before={"_until": F.col(stop)}))
     return follow.where(F.col(start) < F.col("_until")).withColumn(
         "overlap", F.col("_until") - F.col(start)
     ).drop("_until")

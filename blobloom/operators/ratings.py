@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .ordered import scan
+from .ordered import Step, scan
 
 # Rating code -> rating.
 RATING_SCALE = {0: 25, 1: 40, 2: 50, 3: 65, 4: 75, 5: 90, 6: 100}
@@ -27,7 +27,7 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """
     # Written once, as it is read for the cuts, the totals and the numbers.
     counts = written(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")))
-    below = scan(counts, [], [value], sums={"_upto": F.col("_n")})
+    below = scan(counts, [], [value], Step(sums={"_upto": F.col("_n")}))
     rows = counts.agg(F.sum("_n")).scalar()
     rank = (F.col("_upto") - F.col("_n")) / F.greatest(rows - 1, F.lit(1))
     return df.join(below.select(value, rank.alias(out)), value, "left")

@@ -9,14 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .ordered import find_pieces, numbered, scan
+from .ordered import Step, numbered, scan
 
 BLOCK = 1024
 
 
 def record_spans(df: DataFrame, keys: Sequence[str], offset: str, size: int = 1, hot_rows: int | None = None) -> DataFrame:
     """(start, next, count) for each table entry and its successor; the last one drops out."""
-    spans = scan(df, keys, [offset], after={"next": F.col(offset)}, hot_rows=hot_rows)
+    spans = scan(df, keys, [offset], Step(after={"next": F.col(offset)}), hot_rows=hot_rows)
     return spans.where(F.col("next").isNotNull()).withColumn(
         "count", F.floor((F.col("next") - F.col(offset)) / size).cast("bigint")
     )
@@ -32,10 +32,9 @@ def gap_groups(
     """
     order = [position, *tie]
     length = length if isinstance(length, Column) else F.lit(length)
-    pieces = find_pieces(df, keys, position, hot_rows)
-    hits = scan(df, keys, order, before={"_previous": F.col(position)}, pieces=pieces)
     opens = F.col("_previous").isNull() | (F.col(position) - F.col("_previous") >= gap)
-    hits = scan(hits, keys, order, sums={"group": opens.cast("bigint")}, pieces=pieces)
+    look = Step(before={"_previous": F.col(position)})
+    hits = scan(df, keys, order, look, Step(sums={"group": opens.cast("bigint")}), hot_rows=hot_rows)
     return (
         hits.groupBy(*keys, "group")
         .agg(
@@ -58,7 +57,7 @@ def segment_by_separator(
     """
     keys = list(keys)
     data = (~is_separator).cast("bigint")
-    rows = scan(df, keys, order, sums={"_pos": F.lit(1).cast("bigint"), "_data": data}, hot_rows=hot_rows)
+    rows = scan(df, keys, order, Step(sums={"_pos": F.lit(1).cast("bigint"), "_data": data}), hot_rows=hot_rows)
     # Separators of one run share the number of data rows before them.
     runs = (
         rows.where(is_separator)
@@ -70,7 +69,7 @@ def segment_by_separator(
         ends = rows.groupBy(*keys).agg(F.max("_pos").alias("_from"), F.max("_data").alias("_data"))
         tail = ends.select(*keys, (F.col("_data") + 1).alias("_data"), "_from", F.col("_from").alias("_to"))
         runs = runs.withColumn("_tail", F.lit(False)).unionByName(tail.withColumn("_tail", F.lit(True)))
-    sections = scan(runs, keys, ["_from", "_to"], before={"_start": F.col("_to")}, hot_rows=hot_rows)
+    sections = scan(runs, keys, ["_from", "_to"], Step(before={"_start": F.col("_to")}), hot_rows=hot_rows)
     sections = sections.withColumn("_start", F.coalesce("_start", F.lit(0)).cast("bigint"))
     if keep_tail:
         sections = sections.where(~F.col("_tail") | (F.col("_start") < F.col("_from")))
@@ -90,7 +89,7 @@ def take_until_sentinel(df: DataFrame, keys: Sequence[str], position: str, is_se
 
 def sticky_state(df: DataFrame, keys: Sequence[str], order: Sequence[str], setter: Column, default, out: str = "state", hot_rows: int | None = None) -> DataFrame:
     """Value of the last setter so far; `setter` is NULL in rows that set nothing."""
-    rows = scan(df, keys, order, lasts={out: setter}, hot_rows=hot_rows)
+    rows = scan(df, keys, order, Step(lasts={out: setter}), hot_rows=hot_rows)
     return rows.withColumn(out, F.coalesce(F.col(out), F.lit(default)))
 
 

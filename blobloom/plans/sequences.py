@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import sequence as sq
-from ..operators.ordered import numbered, scan
+from ..operators.ordered import Step, scan
 from ..streaming import streams as st
 from .registry import ORACLES, cents, micros, query
 from .sources import document_blobs
@@ -162,8 +162,8 @@ def scan_nonoverlapping(t):
 )
 def row_numbers(t):
     kind = F.col("event_type")
-    rows = scan(t.events, USER, ORDER, before={"before": kind}, after={"after": kind})
-    rows = numbered(rows, USER, ORDER)
+    count = F.lit(1).cast("bigint")
+    rows = scan(t.events, USER, ORDER, Step(sums={"rn": count}, before={"before": kind}, after={"after": kind}))
     return rows.select("user_id", "event_id", "rn", "before", "after")
 
 

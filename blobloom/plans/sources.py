@@ -141,12 +141,24 @@ def json_sidecar(t):
     )
 
 
-@query("src10_snapshot_crc")
+def _crc_sql() -> str:
+    """CRC-32 byte by byte, with the table of the reflected polynomial EDB88320."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return f"""WITH k AS (SELECT {table}::BIGINT[] AS k), d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE octet_length(encode(text)) > 0),
+            l AS (SELECT doc_id, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::BIGINT) AS bytes FROM d)
+       SELECT doc_id, xor(list_reduce(bytes, lambda c, x: xor(k[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM l, k"""
+
+
+@query("src10_snapshot_crc", _crc_sql())
 def snapshot_crc(t):
     return bl.snapshot_manifest(document_blobs(t), "doc_id", "content")
 
 
-@query("src10_snapshot_manifest", "SELECT doc_id, md5(text) AS md5 FROM documents")
+@query("src10_snapshot_manifest", "SELECT doc_id, md5(text) AS md5 FROM documents WHERE length(text) > 0")
 def snapshot_manifest(t):
     return bl.snapshot_digests(document_blobs(t), "doc_id", "content")
 
@@ -177,7 +189,10 @@ def checksum_gate(t):
     return probes.digest_gate(docs, "content", expected).select("doc_id")
 
 
-@query("flt01_checksum_flag")
+@query(
+    "flt01_checksum_flag",
+    """SELECT doc_id, text = (SELECT arg_min(text, doc_id) FROM documents) AS checksum_ok FROM documents WHERE length(text) > 0""",
+)
 def checksum_flag(t):
     docs = document_blobs(t)
     expected = docs.agg(F.crc32(F.min_by("content", "doc_id"))).scalar()

@@ -45,9 +45,9 @@ def by_key(data):
 def test_scan(spark, hot_rows):
     data = skewed()
     df = spark.createDataFrame(data, "k int, p int, v int")
-    out = ordered.scan(
-        df, ["k"], ["p"], sums={"s": F.col("v")}, lasts={"l": F.col("v")}, before={"b": F.col("v")}, after={"a": F.col("v")}, hot_rows=hot_rows
-    )
+    v = F.col("v")
+    step = ordered.Step(sums={"s": v}, lasts={"l": v}, before={"b": v}, after={"a": v})
+    out = ordered.scan(df, ["k"], ["p"], step, hot_rows=hot_rows)
     want = []
     for key, group in by_key(data).items():
         total, last = 0, None
@@ -63,16 +63,16 @@ def test_scan(spark, hot_rows):
 
 def test_hot_keys_are_found(spark):
     df = spark.createDataFrame(skewed(), "k int, p int, v int")
-    pieces = ordered.find_pieces(df, ["k"], "p", 100)
-    assert [r["k"] for r in pieces.hot] == [None] and len(pieces.cuts) >= 3
-    assert ordered.find_pieces(df, ["k"], "p").hot == []
+    assert [r["k"] for r in ordered.hot_keys(df, ["k"], 100)] == [None]
+    assert ordered.hot_keys(df, ["k"], ordered.HOT_ROWS) == []
 
 
 def test_pieces_are_even(spark):
     df = spark.range(10_000).withColumnRenamed("id", "p")
-    cuts = ordered.cut_points(df, "p", 8)
-    sizes = Counter(r[0] for r in df.select(ordered.piece_of("p", cuts)).collect())
-    assert set(sizes) == set(range(8)) and max(sizes.values()) < 1400
+    for pieces in (8, 100):
+        cuts = ordered.cut_points(df, "p", pieces)
+        sizes = Counter(r[0] for r in df.select(ordered.piece_of("p", cuts)).collect())
+        assert set(sizes) == set(range(pieces)) and max(sizes.values()) < 1.2 * 10_000 / pieces
 
 
 def test_numbered_without_key(spark):
