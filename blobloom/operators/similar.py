@@ -206,10 +206,10 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
 
 def _shared_by_matrix(hist: DataFrame, group: str, key: Sequence[str], count: str, names: list) -> DataFrame:
     kind = dict(hist.dtypes)[group]
-    # A key has one cell per group, so its list of cells is as short as `names`.
-    cells = hist.where(F.col(group).isNotNull()).groupBy(*key, group).agg(F.sum(count).cast("bigint").alias("_c"))
+    # A histogram has one row per key and group, so a key's list is as short as `names`.
     place = (F.array_position(F.lit(names).cast(f"array<{kind}>"), F.col(group)) - 1).cast("int")
-    per_key = cells.groupBy(*key).agg(F.collect_list(F.struct(place.alias("g"), F.col("_c").alias("c"))).alias("cells"))
+    cell = F.struct(place.alias("g"), F.col(count).cast("bigint").alias("c"))
+    per_key = hist.where(F.col(group).isNotNull()).groupBy(*key).agg(F.collect_list(cell).alias("cells"))
     width = len(names)
 
     def add_up(batches):

@@ -185,11 +185,50 @@ def choose_arrangement(t):
     return best.withColumn("imbalance", rounded("imbalance"))
 
 
-@query("ml09_three_way")
+def _cut_sql(name: str, position: str, start: str, stop: str, where: str) -> str:
+    """CTE with the best cut of a part of the cells between start and stop of an axis."""
+    return f"""{name} AS (
+        SELECT coalesce((SELECT cut FROM (
+          SELECT cut, max(score) - CASE WHEN count(*) < 2 THEN 0 ELSE min(score) END AS imbalance FROM (
+            SELECT cut, side, abs(-sum(cnt / n * log2(cnt / n))) AS score FROM (
+              SELECT *, sum(cnt) OVER (PARTITION BY cut, side) AS n FROM (
+                SELECT cut, ({position} >= cut)::INT AS side, p, count(*) AS cnt
+                FROM (SELECT * FROM cell WHERE {where}), (SELECT unnest(range(floor({start} + ({stop} - {start}) * 0.3)::BIGINT,
+                     floor({start} + ({stop} - {start}) * 0.7)::BIGINT + 1, 8)) AS cut) GROUP BY ALL))
+            GROUP BY ALL) GROUP BY ALL) ORDER BY imbalance, cut LIMIT 1), {start} + ({stop} - {start}) // 2) AS cut)"""
+
+
+def _three_way_sql() -> str:
+    h, v = "(SELECT cut FROM h)", "(SELECT cut FROM v)"
+    top, bottom, left, right = (f"(SELECT cut FROM {n})" for n in ("top", "bottom", "lefty", "righty"))
+    inside = f"x < {WIDTH} AND y < {HEIGHT}"
+    cuts = [
+        _cut_sql("h", "y", "0", str(HEIGHT), inside),
+        _cut_sql("v", "x", "0", str(WIDTH), inside),
+        _cut_sql("top", "x", "0", str(WIDTH), f"{inside} AND y < {h}"),
+        _cut_sql("bottom", "x", "0", str(WIDTH), f"{inside} AND y >= {h}"),
+        _cut_sql("lefty", "y", "0", str(HEIGHT), f"{inside} AND x < {v}"),
+        _cut_sql("righty", "y", "0", str(HEIGHT), f"{inside} AND x >= {v}"),
+    ]
+    regions = [
+        f"CASE WHEN y >= {h} THEN 2 WHEN x >= {top} THEN 1 ELSE 0 END",
+        f"CASE WHEN y < {h} THEN 0 WHEN x >= {bottom} THEN 2 ELSE 1 END",
+        f"CASE WHEN x >= {v} THEN 2 WHEN y >= {left} THEN 1 ELSE 0 END",
+        f"CASE WHEN x < {v} THEN 0 WHEN y >= {right} THEN 2 ELSE 1 END",
+    ]
+    placed = " UNION ALL ".join(f"SELECT {i} AS layout, {r} AS region, p FROM cell WHERE {inside}" for i, r in enumerate(regions))
+    return f"""WITH {CELLS}, {', '.join(cuts)}, c AS (SELECT layout, region, p, count(*) AS cnt FROM ({placed}) GROUP BY ALL),
+        s AS (SELECT layout, region, sum(cnt) AS n FROM c GROUP BY ALL),
+        e AS (SELECT layout, region, {ENTROPY} AS score FROM c JOIN s USING (layout, region) GROUP BY ALL)
+        SELECT layout::BIGINT AS layout, {sql_round('max(score) - CASE WHEN count(*) < 3 THEN 0 ELSE min(score) END')} AS imbalance FROM e GROUP BY layout"""
+
+
+@query("ml09_three_way", _three_way_sql())
 def three_way(t):
     x, y = F.col("x"), F.col("y")
     layouts = sm.three_way_layouts(cells(t), x, y, ["p"], WIDTH, HEIGHT, "entropy")
-    return sm.arrangement_scores(cells(t), x, y, ["p"], layouts, "entropy")
+    scores = sm.arrangement_scores(cells(t), x, y, ["p"], layouts, "entropy")
+    return scores.withColumn("imbalance", rounded("imbalance"))
 
 
 NINE = sm.nine_sections(WIDTH, HEIGHT, 15, 35, 30, 60)
@@ -200,12 +239,41 @@ def section_hist(t):
     return pr.histogram(cells(t).select(section, "k").where(F.col("section").isNotNull()), ["section"], ["k"])
 
 
-@query("ml10_greedy_groups4")
+# Similarity of the nine sections as a full matrix, in SQL.
+MATRIX = f"""{CELLS}, placed AS (SELECT CASE WHEN y < 30 THEN 0 WHEN y < 60 THEN 3 ELSE 6 END + CASE WHEN x < 15 THEN 0 WHEN x < 35 THEN 1 ELSE 2 END AS s, k
+               FROM cell WHERE x < {WIDTH} AND y < {HEIGHT}),
+     h AS (SELECT s, k, count(*) AS cnt FROM placed GROUP BY ALL), total AS (SELECT s, sum(cnt) AS n FROM h GROUP BY ALL),
+     common AS (SELECT i.s AS a, j.s AS b, sum(least(i.cnt, j.cnt)) AS m FROM h i JOIN h j ON i.k = j.k GROUP BY ALL),
+     sim AS MATERIALIZED (SELECT a, b, m / (p.n + q.n - m) AS v FROM common JOIN total p ON p.s = a JOIN total q ON q.s = b)"""
+
+
+def _join_sql(step: int, section: str) -> str:
+    """CTE with one more section, put into the group it resembles most on average."""
+    return f"""g{step + 1} AS MATERIALIZED (SELECT * FROM g{step} UNION ALL SELECT * FROM (
+        SELECT a AS section, palette FROM sim JOIN g{step} ON g{step}.section = b WHERE a = {section}
+        GROUP BY ALL ORDER BY avg(v) DESC, palette LIMIT 1))"""
+
+
+def _greedy_sql() -> str:
+    seeds = """r AS (SELECT a AS section, row_number() OVER (ORDER BY sum(v) DESC, a) - 1 AS palette FROM sim GROUP BY a),
+               g0 AS (SELECT section, palette FROM r WHERE palette < 4)"""
+    steps = [_join_sql(i, f"(SELECT section FROM r WHERE palette >= 4 ORDER BY section LIMIT 1 OFFSET {i})") for i in range(5)]
+    return f"WITH {MATRIX}, {seeds}, {', '.join(steps)} SELECT section::BIGINT AS section, palette::BIGINT AS palette FROM g5"
+
+
+def _anchor_sql() -> str:
+    seeds = """g0 AS (SELECT 4 AS section, 0::BIGINT AS palette UNION ALL
+                      SELECT b, (row_number() OVER (ORDER BY v, b) + 1) // 2 FROM sim WHERE a = 4 AND b IN (0, 2, 6, 8))"""
+    steps = [_join_sql(i, str(s)) for i, s in enumerate((1, 3, 5, 7))]
+    return f"WITH {MATRIX}, {seeds}, {', '.join(steps)} SELECT section::BIGINT AS section, palette::BIGINT AS palette FROM g4"
+
+
+@query("ml10_greedy_groups4", _greedy_sql())
 def greedy_groups4(t):
     return sm.greedy_groups4(sm.weighted_jaccard(section_hist(t), "section", ["k"]))
 
 
-@query("ml11_anchor_groups3")
+@query("ml11_anchor_groups3", _anchor_sql())
 def anchor_groups3(t):
     return sm.anchor_groups3(sm.weighted_jaccard(section_hist(t), "section", ["k"]))
 
@@ -246,7 +314,24 @@ def nine_sections(t):
     return out
 
 
-@query("ml14_diverse_topk")
+def _diverse_sql() -> str:
+    """Ten most frequent parts per brand, six rounds of the first far one, then the rest."""
+    steps = [
+        f"""c{i + 1} AS MATERIALIZED (SELECT * FROM c{i} UNION ALL SELECT p_brand, p_partkey, p_retailprice, cnt, o, {11 + i} AS place FROM (
+             SELECT * FROM pool WHERE NOT EXISTS (SELECT 1 FROM c{i} x WHERE x.p_brand = pool.p_brand AND abs(x.p_retailprice - pool.p_retailprice) < 15)
+             QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY o) = 1))"""
+        for i in range(6)
+    ]
+    return f"""WITH pool AS MATERIALIZED (SELECT p_brand, p_partkey, p_retailprice, count(*) AS cnt, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_partkey) AS o
+             FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
+           c0 AS (SELECT *, o AS place FROM pool WHERE o <= 10), {', '.join(steps)},
+           every AS (SELECT p_brand, p_partkey, p_retailprice, cnt, place, o FROM c6 UNION ALL SELECT p_brand, p_partkey, p_retailprice, cnt, 99, o FROM pool
+                     WHERE NOT EXISTS (SELECT 1 FROM c6 x WHERE x.p_brand = pool.p_brand AND x.p_partkey = pool.p_partkey)),
+           ranked AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY place, o) - 1 AS slot FROM every)
+        SELECT p_brand, slot AS place, p_partkey, p_retailprice, cnt FROM ranked WHERE slot < 16"""
+
+
+@query("ml14_diverse_topk", _diverse_sql())
 def diverse_topk(t):
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     hist = lines.groupBy("p_brand", "p_partkey", "p_retailprice").agg(F.count("*").alias("cnt"))
