@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Longest array of positions that is made at once.
+BLOCK = 65_536
+
+
 def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -162,12 +166,19 @@ def parse_hex(text) -> Column:
     return F.when(digits.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(digits))
 
 
+def each_position(df: DataFrame, name: str, first: Column, last: Column, step: int = 1) -> DataFrame:
+    """One row per position first, first + step, ... up to last.
+
+    In two stages, so that no array is longer than BLOCK, however long the blob is.
+    """
+    start = F.explode(F.sequence(first.cast("int"), last.cast("int"), F.lit(BLOCK * step)))
+    stop = F.least(F.col("_from") + (BLOCK - 1) * step, last.cast("int"))
+    blocks = df.where(first <= last).select("*", start.alias("_from"))
+    return blocks.select(*df.columns, F.explode(F.sequence("_from", stop, F.lit(step))).alias(name))
+
+
 def hex_dump(df: DataFrame, blob: str, width: int = 16) -> DataFrame:
     """One row per `width` bytes: offset, the bytes in hex."""
     keep = [c for c in df.columns if c != blob]
-    starts = F.sequence(F.lit(0), F.octet_length(blob) - 1, F.lit(width))
-    return (
-        df.where(F.octet_length(blob) > 0)
-        .select(*keep, blob, F.explode(starts).alias("offset"))
-        .select(*keep, "offset", F.hex(_bytes(F.col(blob), F.col("offset"), width)).alias("hex"))
-    )
+    rows = each_position(df, "offset", F.lit(0), F.octet_length(blob) - 1, width)
+    return rows.select(*keep, "offset", F.hex(_bytes(F.col(blob), F.col("offset"), width)).alias("hex"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import u8, u16be, u32be
+from ..functions.binary import each_position, u8, u16be, u32be
 
 # Limits of a tile-and-map header.
 MAX_PALETTE_OFFSET = 0x10000
@@ -38,7 +38,7 @@ def every_offset(blobs: DataFrame, blob: str, header: int, near: tuple[Column, i
     if near is not None:
         target, radius = near
         first, last = F.greatest(first, target - radius), F.least(last, target + radius)
-    return blobs.where(first <= last).select("*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("at"))
+    return each_position(blobs, "at", first, last)
 
 
 def probe_layout(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binary import each_position
 from ..shared import written
 from .ordered import numbered
 
@@ -28,12 +29,8 @@ def top_k(hist: DataFrame, group: Sequence[str], key: Sequence[str], k: int, cou
 
 def bytes_of(df: DataFrame, ids: Sequence[str], blob: str) -> DataFrame:
     """Histogram of the byte values of each blob: ids, byte (as two hex digits), cnt."""
-    positions = F.sequence(F.lit(1), F.octet_length(blob))
-    single = (
-        df.where(F.octet_length(blob) > 0)
-        .select(*ids, blob, F.explode(positions).alias("_at"))
-        .select(*ids, F.expr(f"substring(`{blob}`, _at, 1)").alias("_byte"))
-    )
+    rows = each_position(df.select(*ids, blob), "_at", F.lit(1), F.octet_length(blob))
+    single = rows.select(*ids, F.expr(f"substring(`{blob}`, _at, 1)").alias("_byte"))
     hist = single.groupBy(*ids, "_byte").agg(F.count("*").alias("cnt"))
     return hist.select(*ids, F.conv(F.hex("_byte"), 16, 10).cast("int").alias("byte"), "cnt")
 
@@ -69,8 +66,7 @@ def top_bytes(df: DataFrame, ids: Sequence[str], blob: str, k: int = 10) -> Data
 
 def adjacent_repeats(df: DataFrame, blob: str, shortest: int = 2, longest: int = 8) -> DataFrame:
     """How often each piece of 2..8 bytes is directly followed by itself, by content."""
-    at = F.sequence(F.lit(0), F.octet_length(blob) - 2 * shortest)
-    rows = df.where(F.octet_length(blob) >= 2 * shortest).select(blob, F.explode(at).alias("_at"))
+    rows = each_position(df.select(blob), "_at", F.lit(0), F.octet_length(blob) - 2 * shortest)
     pieces = [
         F.expr(
             f"CASE WHEN _at + {2 * n} <= octet_length(`{blob}`) AND"

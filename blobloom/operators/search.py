@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binary import each_position
 from ..shared import is_small, written
 
 GRAM = 16
@@ -33,16 +34,15 @@ def search_patterns(
     gram = max(1, min(GRAM, shortest // 2))
     stride = max(1, min(MAX_STRIDE, shortest - gram + 1))
 
-    def grams(df: DataFrame, content: str, starts: Column, keep: list[str]) -> DataFrame:
-        return df.select(*keep, content, F.explode(starts).alias("_at")).select(
-            *keep, "_at", F.xxhash64(F.expr(f"substring({content}, _at + 1, {gram})")).alias("_gram")
+    def grams(df: DataFrame, content: str, last: Column, step: int, keep: str) -> DataFrame:
+        hashed = F.xxhash64(F.expr(f"substring({content}, _at + 1, {gram})"))
+        return each_position(df.select(keep, content), "_at", F.lit(0), last, step).select(
+            keep, "_at", hashed.alias("_gram")
         )
 
-    seeds = grams(unique, "_bytes", F.sequence(F.lit(0), F.lit(stride - 1)), ["_key"])
-    seeds = seeds.withColumnRenamed("_at", "_shift")
+    seeds = grams(unique, "_bytes", F.lit(stride - 1), 1, "_key").withColumnRenamed("_at", "_shift")
     texts = blobs.select(blob_id, F.col(blob).alias("_content")).where(F.octet_length("_content") >= shortest)
-    starts = F.sequence(F.lit(0), F.octet_length("_content") - gram, F.lit(stride))
-    sampled = grams(texts, "_content", starts, [blob_id])
+    sampled = grams(texts, "_content", F.octet_length("_content") - gram, stride, blob_id)
     candidates = (
         sampled.join(F.broadcast(seeds) if is_small(seeds, 1_000_000) else seeds, "_gram")
         .select(blob_id, "_key", (F.col("_at") - F.col("_shift")).alias("position"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.binary import each_position
 from ..shared import written
 from .ordered import Step, numbered, scan
 
@@ -31,7 +32,11 @@ def gap_groups(
     is at most `gap` long.
     """
     order = [position, *tie]
-    length = length if isinstance(length, Column) else F.lit(length)
+    # A fixed length needs no look at the last hit; sums and extremes stay in a hash table.
+    if isinstance(length, Column):
+        end = F.max_by(F.col(position) + length, F.struct(*order))
+    else:
+        end = F.max(position) + length
     opens = F.col("_previous").isNull() | (F.col(position) - F.col("_previous") >= gap)
     look = Step(before={"_previous": F.col(position)})
     hits = scan(df, keys, order, look, Step(sums={"group": opens.cast("bigint")}), hot_rows=hot_rows)
@@ -39,7 +44,7 @@ def gap_groups(
         hits.groupBy(*keys, "group")
         .agg(
             F.min(position).alias("start"),
-            F.max_by(F.col(position) + length, F.struct(*order)).alias("end"),
+            end.alias("end"),
             F.count("*").alias("members"),
         )
         .withColumn("preview_end", F.least("end", F.col("start") + gap))
@@ -176,13 +181,10 @@ def run_expand(runs, length: Column | None = None) -> Column:
 def stride_records(df: DataFrame, blob: str, size: int, offset: int = 0, every: int | None = None) -> DataFrame:
     """Fixed-size records of a blob, one row each; a short tail is dropped."""
     keep = [c for c in df.columns if c != blob]
-    last = F.octet_length(blob) - size
-    starts = F.sequence(F.lit(offset), last, F.lit(every or size))
-    return (
-        df.where(last >= offset)
-        .select(*keep, blob, F.posexplode(starts).alias("record", "at"))
-        .select(*keep, "record", "at", F.expr(f"substring(`{blob}`, at + 1, {size})").alias("bytes"))
-    )
+    step = every or size
+    rows = each_position(df, "at", F.lit(offset), F.octet_length(blob) - size, step)
+    record = F.floor((F.col("at") - offset) / step).cast("int")
+    return rows.select(*keep, record.alias("record"), "at", F.expr(f"substring(`{blob}`, at + 1, {size})").alias("bytes"))
 
 
 def scan_nonoverlapping(df: DataFrame, text: str, pattern: str) -> DataFrame:

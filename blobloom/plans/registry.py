@@ -52,8 +52,10 @@ def query(name: str, sql: str | None = None):
 
 
 def micros(column: str) -> Column:
-    """Microseconds since 1970 of a timestamp without zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
+    c = F.col(column)
+    minutes = (F.unix_date(c.cast("date")).cast("bigint") * 24 + F.hour(c)) * 60 + F.minute(c)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
 def days(column: str) -> Column:

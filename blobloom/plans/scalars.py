@@ -318,15 +318,14 @@ def align_up(t):
 
 @query(
     "fn24_hex_text",
-    """WITH d AS (SELECT doc_id, n_chars, hex(encode(substr(text, 1, 8))) AS h FROM documents)
-       SELECT doc_id, printf('0x%08X', n_chars) AS address, CASE WHEN n_chars % 2 = 0 THEN h END AS parsed FROM d""",
+    """SELECT doc_id, printf('0x%08X', n_chars) AS address, CASE WHEN n_chars % 2 = 0 THEN md5(text) END AS parsed FROM documents""",
 )
 def hex_text(t):
-    digits = F.hex(F.encode(F.substring("text", 1, 8), "UTF-8"))
+    digits = F.hex(F.encode("text", "UTF-8"))
     spaced = F.regexp_replace(digits, "(..)", "$1 ")
     # An odd number of digits is no byte string.
     cut = F.when(F.col("n_chars") % 2 == 0, spaced).otherwise(F.concat(spaced, F.lit("7")))
-    return t.documents.select("doc_id", bi.hex_offset("n_chars").alias("address"), F.hex(bi.parse_hex(cut)).alias("parsed"))
+    return t.documents.select("doc_id", bi.hex_offset("n_chars").alias("address"), F.md5(bi.parse_hex(cut)).alias("parsed"))
 
 
 @query(

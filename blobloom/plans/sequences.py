@@ -207,9 +207,8 @@ def arriving(t):
 )
 def gap_sessions(t):
     sessions = st.run_to_end(st.gap_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "sessions")
-    closed = sessions.select(
-        "user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "members"
-    )
+    plain = sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    closed = plain.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "members")
     # What ends before the last watermark is surely closed.
     last = t.events.agg(F.floor(F.max(micros("ts")) / 1000) * 1000 - 86_400_000_000).scalar()
     return closed.where(F.col("end") + 1_799_999_999 < last)
@@ -242,4 +241,5 @@ def band_counts(t):
     bands = {"low": (0, 50), "rest": (50, 1000)}
     counts = st.band_counts(arriving(t), USER, "ts", "value", "1 day", "1 day", bands)
     out = st.run_updates(counts, "bands", ["window_start", "user_id"])
-    return out.withColumn("window_start", F.unix_micros("window_start"))
+    out = out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return out.withColumn("window_start", micros("window_start"))

@@ -68,6 +68,12 @@ def test_hex_dump(spark):
     assert [(r["offset"], r["hex"]) for r in rows] == [(0, bytes(range(16)).hex().upper()), (16, "1011")]
 
 
+def test_positions_of_long_blobs(spark):
+    df = spark.createDataFrame([(1, 0, 200_000), (2, 5, 4), (3, 7, 7)], "id int, a int, z int")
+    got = bi.each_position(df, "at", F.col("a"), F.col("z"), 3).groupBy("id").agg(F.count("*"), F.min("at"), F.max("at"), F.count_distinct("at"))
+    assert sorted(map(tuple, got.collect())) == [(1, 66667, 0, 199998, 66667), (3, 1, 7, 7, 1)]
+
+
 def test_colour9(spark):
     df = row(spark, w=0b0000_1110_0110_0010)
     got = one(df, *[co.colour9_to_rgb("w", s) for s in (32, 252, 255)])

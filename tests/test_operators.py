@@ -102,6 +102,9 @@ def test_gap_groups(spark, hot_rows):
 def test_gap_of_exactly_the_limit_splits(spark):
     df = spark.createDataFrame([("a", 0), ("a", 19), ("a", 39)], "k string, p int")
     assert rows(sq.gap_groups(df, ["k"], "p", 20), "start", "members") == [(0, 2), (39, 1)]
+    # The end is that of the last hit, even if one before it reaches further.
+    sized = sq.gap_groups(df.withColumn("n", 25 - F.col("p")), ["k"], "p", 20, F.col("n"))
+    assert rows(sized, "start", "end") == [(0, 25), (39, 25)]
 
 
 def sections_by_hand(flags, run, keep_tail):
