@@ -10,6 +10,8 @@ from ..shared import is_small, written
 
 GRAM = 16
 MAX_STRIDE = 64
+# Up to this many grams of patterns are broadcast.
+MOST_SEEDS = 1_000_000
 
 
 def search_patterns(
@@ -27,7 +29,7 @@ def search_patterns(
         F.octet_length("_bytes") >= min_length
     )
     unique = ids.select("_bytes").distinct().withColumn("_key", F.sha2("_bytes", 256))
-    shortest = unique.agg(F.min(F.octet_length("_bytes"))).first()[0]
+    shortest, known = unique.agg(F.min(F.octet_length("_bytes")), F.count("*")).first()
     if shortest is None:
         nothing = F.lit(None).cast(dict(ids.dtypes)[pattern_id]).alias(pattern_id)
         return blobs.select(blob_id, nothing, F.lit(0).alias("position")).where(F.lit(False))
@@ -44,7 +46,7 @@ def search_patterns(
     texts = blobs.select(blob_id, F.col(blob).alias("_content")).where(F.octet_length("_content") >= shortest)
     sampled = grams(texts, "_content", F.octet_length("_content") - gram, stride, blob_id)
     candidates = (
-        sampled.join(F.broadcast(seeds) if is_small(seeds, 1_000_000) else seeds, "_gram")
+        sampled.join(F.broadcast(seeds) if known * stride <= MOST_SEEDS else seeds, "_gram")
         .select(blob_id, "_key", (F.col("_at") - F.col("_shift")).alias("position"))
         .where(F.col("position") >= 0)
     )
