@@ -144,17 +144,20 @@ def probe_with_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> Dat
     return df.withColumn("reason", first_reason(rules))
 
 
-def words_of(blob: str, offset: int, count: Column) -> Column:
-    """Array of big-endian 16-bit words."""
-    digits = F.hex(F.substring(F.col(blob), F.lit(offset + 1), count * 2))
-    return F.transform(
-        F.regexp_extract_all(digits, F.lit(".{4}"), F.lit(0)), lambda d: F.conv(d, 16, 10).cast("int")
-    )
-
+def probe_content_valid(blobs: DataFrame, key: str, blob: str, bound: Column | int, offset: int = 0, words: Column | None = None) -> DataFrame:
+    """Blobs whose 16-bit words all have a tile index (bits 0-10) below the bound.
 
-def probe_content_valid(df: DataFrame, words: Column, bound) -> DataFrame:
-    """Rows whose words all have a tile index (bits 0-10) below the bound."""
-    return df.where(F.forall(words, lambda w: w.bitwiseAND(F.lit(2047)) < bound))
+    The words are tested where the blob is read; only keys of blobs with a bad word move.
+    Without a number of words, all that the blob holds behind the offset are tested; a word
+    that is asked for but not there is bad.
+    """
+    keep = [c for c in blobs.columns if c != blob]
+    if words is None:
+        words = F.floor((F.octet_length(blob) - offset) / 2)
+    rows = each_position(blobs, "at", F.lit(offset), (words - 1) * 2 + offset, 2)
+    good = u16be(blob, F.col("at")).bitwiseAND(F.lit(2047)) < bound
+    bad = rows.where(~F.coalesce(good, F.lit(False))).select(key).distinct()
+    return blobs.select(*keep).join(bad, key, "left_anti")
 
 
 def probe_near(blobs: DataFrame, blob: str, target: Column, radius: int, test: Column, header: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import each_position
+from ..functions.binary import each_position, let
 from ..shared import is_small, written
 
 GRAM = 16
@@ -67,6 +67,11 @@ def match_summary(matches: DataFrame, pattern_id: str) -> DataFrame:
 
 def prefix_length(a: Column, b: Column) -> Column:
     """Number of leading bytes two binary columns share, by bisection."""
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return let(both, lambda s: _bisect_prefix(s["a"], s["b"]))
+
+
+def _bisect_prefix(a: Column, b: Column) -> Column:
     shorter = F.least(F.octet_length(a), F.octet_length(b))
 
     def part(c: Column, start: Column, stop: Column) -> Column:

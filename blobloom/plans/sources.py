@@ -292,9 +292,7 @@ def probe_map_header(t):
          lambda i: (('0x' || hex(b[2 * i + 1:2 * i + 2]))::INT & 2047) < 1910))""",
 )
 def probe_content_valid(t):
-    docs = document_blobs(t, min_length=2)
-    words = probes.words_of("content", 0, F.floor(F.octet_length("content") / 2).cast("int"))
-    return probes.probe_content_valid(docs, words, 1910).select("doc_id")
+    return probes.probe_content_valid(document_blobs(t, min_length=2), "doc_id", "content", 1910)
 
 
 @query(

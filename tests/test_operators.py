@@ -298,6 +298,17 @@ def test_detect_encoding(spark):
     assert {r["id"]: tuple(r["e"]) for r in got} == {i: w for i, (_, w) in enumerate(cases)}
 
 
+def test_content_valid(spark):
+    def grid(*words):
+        return bytearray(b"".join(w.to_bytes(2, "big") for w in words))
+
+    blobs = [(1, grid(0xF805, 3, 9), 10), (2, grid(1, 10), 10), (3, grid(4, 2047, 4), 10), (4, grid(), 1), (5, grid(0, 0, 7), 7)]
+    df = spark.createDataFrame(blobs, "id int, b binary, tiles int")
+    assert rows(probes.probe_content_valid(df, "id", "b", F.col("tiles")), "id") == [(1,), (4,)]
+    assert rows(probes.probe_content_valid(df, "id", "b", F.col("tiles"), words=F.lit(1)), "id") == [(1,), (2,), (3,), (5,)]
+    assert rows(probes.probe_content_valid(df, "id", "b", F.col("tiles"), offset=2), "id") == [(1,), (4,)]
+
+
 def test_checksum_gate(spark):
     df = spark.createDataFrame([(1, bytearray(b"123456789")), (2, bytearray(b"x"))], "id int, b binary")
     crc = zlib.crc32(b"123456789")
