@@ -10,8 +10,9 @@ from ..shared import is_small, written
 
 GRAM = 16
 MAX_STRIDE = 64
-# Up to this many grams of patterns are broadcast.
+# Up to this many grams of patterns, and candidates, are broadcast.
 MOST_SEEDS = 1_000_000
+MOST_CANDIDATES = 100_000
 
 
 def search_patterns(
@@ -53,7 +54,7 @@ def search_patterns(
     # The blobs are read once more to verify; they only move if the candidates are many.
     candidates = written(candidates, "candidates")
     wanted = candidates.join(unique, "_key")
-    wanted = F.broadcast(wanted) if is_small(candidates, 100_000) else wanted
+    wanted = F.broadcast(wanted) if is_small(candidates, MOST_CANDIDATES) else wanted
     same = F.expr("substring(_content, position + 1, octet_length(_bytes)) = _bytes")
     found = texts.join(wanted, blob_id).where(same).select(blob_id, "_key", "position")
     named = ids.select(pattern_id, F.sha2("_bytes", 256).alias("_key"))

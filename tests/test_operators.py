@@ -189,8 +189,12 @@ def test_context_is_cut(spark):
 # --- search -----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("sizes", [(16, 20), (40, 90), (3, 5)])
-def test_search_patterns(spark, sizes):
+@pytest.mark.parametrize("sizes, few", [((16, 20), True), ((40, 90), True), ((3, 5), True), ((16, 60), False)])
+def test_search_patterns(spark, monkeypatch, sizes, few):
+    if not few:
+        # As with many patterns and many candidates: nothing is broadcast by hint.
+        monkeypatch.setattr(se, "MOST_SEEDS", 0)
+        monkeypatch.setattr(se, "MOST_CANDIDATES", 0)
     rng = random.Random(sum(sizes))
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 400))) for _ in range(30)]
     texts.append(b"a" * 300)
