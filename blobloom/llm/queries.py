@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, media, packing, simhash, tokenfiles, urls
+from . import bpe, fingerprints, lm, media, packing, simhash, substrings, tokenfiles, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,7 +59,45 @@ def op6_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+# The same in SQL: a window is its 13 words in one string.
+ORACLES["op7_substring_dedup"] = r"""
+WITH split AS (
+    SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents
+), places AS (
+    SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM split WHERE len(words) >= 13
+), windows AS (
+    SELECT doc_id, place, array_to_string(words[place : place + 12], ' ') AS w FROM places
+), firsts AS (
+    SELECT w, min(doc_id) AS least FROM windows GROUP BY w
+), gone AS (
+    SELECT doc_id, list(DISTINCT place + k) AS spots
+    FROM windows JOIN firsts USING (w), range(0, 13) AS steps(k)
+    WHERE least < doc_id GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, len(words) AS n_words, coalesce(len(spots), 0) AS n_removed,
+        CASE WHEN spots IS NULL THEN words ELSE list_select(words, list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(spots, i))) END AS rest
+    FROM split LEFT JOIN gone USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, folder, "documents"), window=13, digests=True)
+
+
 @query
 def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return tokenfiles.count_document_tokens(table(spark, folder, "documents"), path)
+
+
+@query
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(table(spark, folder, "documents"))

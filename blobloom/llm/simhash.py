@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
@@ -109,6 +109,18 @@ def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, fp binary")
 
 
+def fingerprint_column(text: Column, plan: Plan) -> Column:
+    """The fingerprint of each text as a column; a null text is empty."""
+
+    @F.pandas_udf("binary")
+    def prints(texts):
+        import pandas as pd
+
+        return pd.Series([fingerprint(t or "", plan.shingle, plan.size) for t in texts], dtype="object")
+
+    return prints(text)
+
+
 def list_links(prints: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
     """A spanning forest of the links within one list of postings, as pairs of row numbers.
 
