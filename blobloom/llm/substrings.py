@@ -37,7 +37,7 @@ from .common import documents, small_batches
 GRAM = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 # Suffixes of a group that one task sorts at once, and counters of prefixes per length.
-GROUP, COUNTERS = 100_000, 1 << 16
+GROUP, COUNTERS = 100_000, 1 << 14
 # Words of the documents that one map step looks at together.
 TOGETHER = 600_000
 
@@ -129,26 +129,30 @@ def census(docs: DataFrame, window: int) -> DataFrame:
                 slots, local = np.unique(slot[here], return_inverse=True)
                 state = (twice[here].astype(np.uint8) << 1) | sent[here]
                 keys = np.stack([doc[slots], np.array(digests, np.int64)[slots]]).astype("<i8").tobytes()
-                known = np.where(sent[here], grams[here], np.uint64(0))[sent[here]]
-                rows.append((t, keys, known.astype("<u8").tobytes(), local.astype("<u2" if len(slots) < 65536 else "<u4").tobytes(), place[here].astype("<u4").tobytes(), state.tobytes()))
+                known = grams[here][sent[here]]
+                low, high = known.astype("<u4").tobytes(), (known >> np.uint64(32)).astype("<u2").tobytes()
+                step = np.packbits(np.diff(local, prepend=0).astype(bool)).tobytes()  # documents follow each other
+                wide = "<u4" if place[here].max() > 65535 else "<u2"
+                rows.append((t, len(here), keys, low, high, step, place[here].astype(wide).tobytes(), np.packbits(state[:, None] >> np.arange(2) & 1).tobytes()))
             if rows:
-                names = ["target", "keys", "grams", "slots", "places", "states"]
-                kinds = [pa.int32(), *[pa.binary()] * 5]
+                names = ["target", "n", "keys", "low", "high", "steps", "places", "states"]
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         docs, digests, grams, owners, places, twice, sent = [], [], [], [], [], [], []
         base = 0
-        for keys, known, slots, place, states in zip(rows["keys"], rows["grams"], rows["slots"], rows["places"], rows["states"], strict=True):
+        for n, keys, low, high, steps, place, states in zip(*(rows[c] for c in ("n", "keys", "low", "high", "steps", "places", "states")), strict=True):
             table = np.frombuffer(keys, "<i8").reshape(2, -1)
-            state = np.frombuffer(states, np.uint8)
+            place = np.frombuffer(place, "<u2" if 2 * n == len(place) else "<u4")
+            state = np.unpackbits(np.frombuffer(states, np.uint8), count=2 * n).reshape(n, 2)
             docs.append(table[0])
             digests.append(table[1])
-            owners.append(np.frombuffer(slots, "<u2" if table.shape[1] < 65536 else "<u4").astype(np.int64) + base)
-            places.append(np.frombuffer(place, "<u4"))
-            twice.append(state >> 1 == 1)
-            sent.append(state & 1 == 1)
-            grams.append(np.frombuffer(known, "<u8"))
+            owners.append(np.cumsum(np.unpackbits(np.frombuffer(steps, np.uint8), count=n)) + base)
+            places.append(place)
+            sent.append(state[:, 0] == 1)
+            twice.append(state[:, 1] == 1)
+            grams.append(np.frombuffer(low, "<u4") | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32))
             base += table.shape[1]
         doc, digest, owner, place = (np.concatenate(x) for x in (docs, digests, owners, places))
         twice, sent, gram = np.concatenate(twice), np.concatenate(sent), np.concatenate(grams)
@@ -166,7 +170,7 @@ def census(docs: DataFrame, window: int) -> DataFrame:
         out = [(doc[owner[a]], digest[owner[a]], place[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pd.DataFrame(out, columns=["doc_id", "digest", "places"])
 
-    schema = "target int, keys binary, grams binary, slots binary, places binary, states binary"
+    schema = "target int, n int, keys binary, low binary, high binary, steps binary, places binary, states binary"
     return docs.mapInArrow(send, schema).groupBy("target").applyInPandas(meet, "doc_id bigint, digest bigint, places binary")
 
 
@@ -266,30 +270,36 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least: dict[tuple[bytes, bytes], int] = {}
+            seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
             for doc, _, _, left, right in suffixes(iter([batch]), window):
-                known = least.get((left, right))
-                if known is None or doc < known:
-                    least[left, right] = doc
+                low, high = seen.get((left, right), (doc, doc))
+                seen[left, right] = (min(low, doc), max(high, doc))
             rows = []
-            for (left, right), doc in least.items():
+            for (left, right), (low, high) in seen.items():
                 hashes = prefix_hashes(right)
                 length = next((k for k, h in enumerate(hashes) if counts[k, h % COUNTERS] <= GROUP), GRAM - 1)
-                rows.append((hashes[length] - 2**63, left, right, doc))
+                rows.append((hashes[length] - 2**63, left, right, low, high))
             if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "doc"])
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "low", "high"])
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trees of the groups of a partition; several small groups are sorted together."""
 
         def tree(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            left, right, doc = ([x for r in rows for x in r.column(c).to_pylist()] for c in ("left", "right", "doc"))
-            minima = tree_minima(left, right, np.array(doc, np.int64), window)
+            # Each suffix once, with the smallest and the largest document that has it.
+            seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
+            for row in rows:
+                for left, right, low, high in zip(*(row.column(c).to_pylist() for c in ("left", "right", "low", "high")), strict=True):
+                    known = seen.get((left, right), (low, high))
+                    seen[left, right] = (min(low, known[0]), max(high, known[1]))
+            low, high = np.array(list(seen.values()), np.int64).T
+            minima = tree_minima([k[0] for k in seen], [k[1] for k in seen], low, window)
             digest = xxhash.xxh3_128_digest
-            keys = [digest(a + b"\n" + b) for a, b in zip(left, right, strict=True)]
-            flat = pa.array(minima.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, minima.size + 1, minima.shape[1]), pa.int32()), flat)
+            useful = (minima < high[:, None]).any(axis=1)  # some document has a window that a smaller one has
+            keys = [digest(a + b"\n" + b) for (a, b), x in zip(seen, useful, strict=True) if x]
+            flat = minima[useful]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32()), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), lists], names=["suffix", "minima"])
 
         held, size = [], 0
@@ -314,10 +324,9 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["suffix", "doc_id", "digest", "place"])
 
-    dealt = candidates.mapInArrow(deal, "part bigint, left binary, right binary, doc bigint")
+    dealt = candidates.mapInArrow(deal, "part bigint, left binary, right binary, low bigint, high bigint")
     trees = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(grow, "suffix binary, minima array<bigint>")
-    # One row per suffix; the trees saw a suffix once per batch that has it, with the same result.
-    trees = trees.groupBy("suffix").agg(F.first("minima").alias("minima"))
+    # One row per suffix. A passage that a third of the documents share has as many places: a skewed join, which AQE splits.
     places = candidates.mapInArrow(occur, "suffix binary, doc_id bigint, digest bigint, place bigint").join(trees, "suffix")
     bits = [F.when(F.col("minima")[j] < F.col("doc_id"), 1 << j).otherwise(0) for j in range(window - GRAM + 1)]
     return places.select("doc_id", "digest", "place", sum(bits[1:], bits[0]).alias("mask")).where("mask > 0")
