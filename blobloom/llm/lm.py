@@ -222,10 +222,17 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", mega
     counts = written(word_counts(train), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"], total["v"]
-    rows = counts.where(F.length("word") <= LONGEST).orderBy(F.col("n").desc(), "word").limit(FREQUENT).collect()
+    # Counts in steps of 2^(1/64), at most some 4,000 of them, tell from which step on words are frequent.
+    counts = counts.withColumn("step", F.when(F.length("word") <= LONGEST, F.floor(F.log2("n") * 64)).otherwise(-1))
+    least, held = 0, 0
+    for row in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        held += row["count"]
+        if held > FREQUENT:
+            least = row["step"] + 1
+            break
+    rows = counts.where((F.col("step") >= least) & (F.col("step") >= 0)).select("word", "n").collect()
     context = df.sparkSession.sparkContext
     frequent = context.broadcast({bytes(r["word"]): r["n"] for r in rows})
-    least = rows[-1]["n"] if len(rows) == FREQUENT else 0
     bits = context.broadcast(fill(train, megabytes, segments))
     below = n + 0.5 * (v + 1)
 
@@ -275,7 +282,7 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", mega
     scored = written(docs.select("doc_id", "text", "held_out").mapInArrow(score, schema), "scored")
     # Words beyond the frequent ones: one row per document and word, joined to their counts.
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
-    few = counts.where((F.col("n") <= least) | (F.length("word") > LONGEST)) if least else counts.where(F.length("word") > LONGEST)
+    few = counts.where((F.col("step") < least) | (F.col("step") < 0))
     joined = rare.join(few, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     sums = joined.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more"),

@@ -155,7 +155,10 @@ class ArchiveReader(DataSourceReader):
             ranges += [DirectoryRange(name, start, b, min(b + self.range, size), size) for b in range(0, size, self.range)]
         return ranges
 
-    def read(self, partition: DirectoryRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: DirectoryRange | None) -> Iterator[pa.RecordBatch]:
+        """Rows of one range; without any archive member Spark asks for the range None."""
+        if partition is None:
+            return
         system, at = opened(self.folder)
         rows, held = [], 0
         with system.open_input_file(f"{at}/{partition.archive}") as file:
@@ -277,7 +280,7 @@ class ArchiveSource(DataSource):
         return MEMBERS
 
     def reader(self, schema) -> ArchiveReader:
-        return ArchiveReader(dict(self.options))
+        return ArchiveReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
         return ArchiveWriter(self.options["path"])
