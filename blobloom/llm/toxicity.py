@@ -171,21 +171,22 @@ def scores(texts: Iterable[str | None], model: Model | None) -> list[float]:
     return out
 
 
-def learn(labelled: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
-    """A model from rows (text, toxic); at most so many of each class, by hash of the text, none longer than LONGEST."""
+def learnt_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
+    """A model from labelled documents that are not held out, by crc32 of the id.
 
-    def some(label: int, rows: int) -> list[str]:
-        chosen = labelled.where((F.col("toxic") == label) & (F.length("text") <= LONGEST)).select("text").distinct()
-        return [r["text"] for r in chosen.orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
-
-    return train(some(1, toxic_rows), some(0, ordinary_rows))
+    At most so many of each class, chosen by hash of the id from the labels alone; their ids are a
+    bounded table, so no text is moved but theirs. Texts over LONGEST characters are not learnt from.
+    """
+    marks = labels.select(F.col(key).cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.where(~fold().isin(0, -1))
 
+    def some(label: int, rows: int) -> DataFrame:
+        return marks.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
-def learnt_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
-    """learn() on the labelled documents that are not held out, by crc32 of the id."""
-    docs = documents(df, key, text).where(~fold().isin(0, -1))
-    marks = labels.select(F.col(key).cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    return learn(docs.join(marks.where("toxic in (0, 1)"), "doc_id").select("text", "toxic"))
+    chosen = some(1, toxic_rows).unionByName(some(0, ordinary_rows))
+    found = documents(df, key, text).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    rows = found.select("text", "toxic").collect()
+    return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
 def score_column(text: Column, model: Model | None) -> Column:
