@@ -40,7 +40,7 @@ def coder(path: str) -> UnitCoder:
     tokenizer.no_padding()
 
     def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(units, add_special_tokens=False)] if units else []
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)] if units else []
 
     return UnitCoder(encode)
 
