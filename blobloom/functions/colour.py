@@ -135,9 +135,15 @@ def ordered_dither(value, top: int, x, y) -> Column:
     return F.when(scaled - low > bayer_threshold(x, y), up).otherwise(low).cast("bigint")
 
 
-def noise_quantise(value, top: int, amount: float, seed: int) -> Column:
-    """3-bit level of value with uniform noise in (-amount, amount) added first."""
-    noise = (F.rand(seed) - 0.5) * amount * 2
+def noise_quantise(value, top: int, amount: float, seed: int, *key) -> Column:
+    """3-bit level of value with uniform noise in (-amount, amount) added first.
+
+    The noise is the first 32 bits of md5 of the seed and the row's key, so it does not hang on
+    partitions and repeats itself.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[_column(k).cast("string") for k in key])
+    share = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    noise = (share - 0.5) * amount * 2
     return clamp(round_half_up(_column(value) / top * 7 + noise), 0, 7).cast("bigint")
 
 

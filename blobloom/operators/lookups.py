@@ -107,7 +107,9 @@ def range_lookup(
     """Smallest range key with low <= value <= high, else the default.
 
     A small range table is searched in the row itself. A large one is cut into buckets of
-    `width`, and each distinct value meets only the ranges of its own bucket.
+    `width`, and each distinct value meets only the ranges of its own bucket. Without a width,
+    buckets are as wide as the mean range or the mean distance of ranges, whichever is more, so
+    ranges have few pieces on average and none has more than there are ranges.
     """
     rows = small_rows(ranges.select(key, low, high), LITERAL_RANGES)
     if rows is not None:
@@ -116,7 +118,8 @@ def range_lookup(
             hit = F.when(F.col(value).between(lo, hi), F.lit(k)).otherwise(hit)
         return df.withColumn(key, hit)
     if width is None:
-        raise ValueError("a large range table needs a bucket width")
+        span = ranges.agg(F.max(high) - F.min(low), F.avg(F.col(high) - F.col(low)), F.count("*")).first()
+        width = max(float(span[0] or 0) / span[2], float(span[1] or 0)) or 1.0
 
     def bucket(c) -> Column:
         return F.floor(F.col(c) / width)

@@ -135,7 +135,7 @@ def _scan_pieces(df: DataFrame, keys: list, order: list, steps: Sequence[Step],
 def _step_pieces(df: DataFrame, order: list, step: Step) -> DataFrame:
     sums, lasts, before, after = step.sums, step.lasts, step.before, step.after
     part = ["_key", "_piece"]
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    position = F.struct(*order)  # in a struct a null is the smallest value, as in the window
 
     # What a piece hands to its neighbours.
     totals = [F.coalesce(F.sum(e), F.lit(0)).alias(f"_t_{n}") for n, e in sums.items()]

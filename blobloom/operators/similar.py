@@ -186,10 +186,12 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
 
     Up to MATRIX_GROUPS groups, every task adds its keys up in one square matrix, so that no
     row is ever made per key and pair. More groups meet in a join on the key, where the rows
-    of one key are spread over `salts` parts.
+    of one key are spread over `salts` parts. Rows with a null group or key part count nowhere,
+    and rows of one group and key are added up first, so both ways give the same rows.
     """
+    whole = hist.dropna(subset=[group, *key]).groupBy(group, *key).agg(F.sum(count).alias(count))
     # Written once, as it is read for the groups, the overlaps and the totals.
-    hist = written(hist, "histogram")
+    hist = written(whole, "histogram")
     rows = small_rows(hist.select(group).distinct(), MATRIX_GROUPS)
     if rows is None:
         shared = _shared_by_join(hist, group, key, count, salts)

@@ -45,7 +45,7 @@ def _little_sql(start: str) -> str:
 
 @query(
     "fn01_read_integers",
-    f"""WITH d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE octet_length(encode(text)) > 0),
+    f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
              v AS (SELECT doc_id, {_hex_sql('0', 1)} AS u8, {_hex_sql('5', 2)} AS u16be, {_hex_sql('50', 4)} AS u32be, {_little_sql('7')} AS u16le,
                           {_hex_sql('octet_length(b) - 2', 2)} AS tail, {_hex_sql('octet_length(b) - 1', 2)} AS past FROM d)
         SELECT *, CASE WHEN tail >= 32768 THEN tail - 65536 ELSE tail END AS i16be, CASE WHEN u16le >= 32768 THEN u16le - 65536 ELSE u16le END AS i16le FROM v""",
@@ -224,9 +224,15 @@ def ordered_dither(t):
     return rows.select(*LINE, co.ordered_dither("r", 255, "l_suppkey", "l_linenumber").alias("level"))
 
 
-@query("fn15_noise_quantise")
+@query(
+    "fn15_noise_quantise",
+    f"""WITH s AS (SELECT {LINE_SQL}, {R_SQL} / 255::DOUBLE * 7 AS s,
+                   ('0x' || md5('42:' || l_orderkey || ':' || l_linenumber)[1:8])::BIGINT / 4294967296::DOUBLE AS share FROM lineitem)
+        SELECT {LINE_SQL}, greatest(0, least(7, floor(s + (share - 0.5) + 0.5)))::BIGINT AS level FROM s""",
+)
 def noise_quantise(t):
-    return rgb(t).select(*LINE, co.noise_quantise("r", 255, 0.5, 42).alias("level"))
+    rows = rgb(t, "l_linenumber")
+    return rows.select(*LINE, co.noise_quantise("r", 255, 0.5, 42, "l_orderkey", "l_linenumber").alias("level"))
 
 
 def lab_sql(r: str, g: str, b: str) -> str:

@@ -10,8 +10,9 @@ from ..sources import tables as tb
 from .registry import Tables, cents, query
 
 
-def document_blobs(t: Tables, *more: str, min_length: int = 1):
-    docs = bl.text_blobs(bl.spread(t.documents.select("doc_id", *more, "text"), "doc_id"), "text", min_length=min_length)
+def document_blobs(t: Tables, *more: str, min_length: int = 0):
+    """Every document's text as a blob; a null text is an empty one."""
+    docs = bl.text_blobs(bl.spread(t.documents.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text")), "doc_id"), "text", min_length=min_length)
     return docs.select("doc_id", *more, "content")
 
 
@@ -49,7 +50,7 @@ MANIFEST = [("head", "a", 0, 64), ("middle", "a", 32, 160), ("none", "b", 10, 10
 
 @query(
     "src03_slice_by_manifest",
-    """SELECT doc_id, name, folder, hex(encode(text)[a + 1:b]) AS bytes
+    """SELECT doc_id, name, folder, hex(encode(coalesce(text, ''))[a + 1:b]) AS bytes
        FROM documents, (VALUES ('head', 'a', 0, 64), ('middle', 'a', 32, 160),
                                ('none', 'b', 10, 10), ('late', 'b', 1000, 1256)) m(name, folder, a, b)""",
 )
@@ -148,7 +149,7 @@ def _crc_sql() -> str:
         for _ in range(8):
             value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
         table.append(value)
-    return f"""WITH k AS (SELECT {table}::BIGINT[] AS k), d AS (SELECT doc_id, encode(text) AS b FROM documents WHERE octet_length(encode(text)) > 0),
+    return f"""WITH k AS (SELECT {table}::BIGINT[] AS k), d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
             l AS (SELECT doc_id, list_transform(range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::BIGINT) AS bytes FROM d)
        SELECT doc_id, xor(list_reduce(bytes, lambda c, x: xor(k[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM l, k"""
 
@@ -158,7 +159,7 @@ def snapshot_crc(t):
     return bl.snapshot_manifest(document_blobs(t), "doc_id", "content")
 
 
-@query("src10_snapshot_manifest", "SELECT doc_id, md5(text) AS md5 FROM documents WHERE length(text) > 0")
+@query("src10_snapshot_manifest", "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents")
 def snapshot_manifest(t):
     return bl.snapshot_digests(document_blobs(t), "doc_id", "content")
 
@@ -181,7 +182,7 @@ def report_lines(t):
 @query(
     "flt01_checksum_gate",
     """SELECT doc_id FROM documents
-       WHERE md5(text) = (SELECT md5(arg_min(text, doc_id)) FROM documents)""",
+       WHERE md5(coalesce(text, '')) = (SELECT md5(arg_min(coalesce(text, ''), doc_id)) FROM documents)""",
 )
 def checksum_gate(t):
     docs = document_blobs(t)
@@ -191,7 +192,7 @@ def checksum_gate(t):
 
 @query(
     "flt01_checksum_flag",
-    """SELECT doc_id, text = (SELECT arg_min(text, doc_id) FROM documents) AS checksum_ok FROM documents WHERE length(text) > 0""",
+    """SELECT doc_id, coalesce(text, '') = (SELECT arg_min(coalesce(text, ''), doc_id) FROM documents) AS checksum_ok FROM documents""",
 )
 def checksum_flag(t):
     docs = document_blobs(t)

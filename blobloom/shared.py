@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +11,10 @@ SMALL_ROWS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, from `spark.checkpoint.dir`.
-
-    Only a local session without the setting gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder all executors see, from `spark.checkpoint.dir` or the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="blobloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 

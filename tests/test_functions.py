@@ -141,7 +141,7 @@ def test_lab_of_white_and_black(spark):
 
 
 def test_noise_stays_near(spark):
-    rows = spark.range(1000).select("id", co.noise_quantise(F.col("id") % 256, 255, 0.5, 1).alias("q")).collect()
+    rows = spark.range(1000).select("id", co.noise_quantise(F.col("id") % 256, 255, 0.5, 1, "id").alias("q")).collect()
     assert all(abs(q - (i % 256) / 255 * 7) <= 1.0 and 0 <= q <= 7 for i, q in rows)
 
 

@@ -663,3 +663,36 @@ def test_wide(spark, tmp_path):
     assert spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "w")).count() == 2
     one, two = spark.createDataFrame([("1", "x")], "id string, a string"), spark.createDataFrame([("2", "y")], "id string, b string")
     assert rows(tb.stack_wide(one, two), "id", "a", "b") == [("1", "x", ""), ("2", "", "y")]
+
+
+def test_overlaps_both_ways_with_nulls_and_repeats(spark, monkeypatch):
+    """Null keys count nowhere and repeated rows are added up, in the matrix and in the join."""
+    from blobloom.operators import similar
+
+    rows = [("a", "x", 2), ("a", "x", 1), ("b", "x", 5), ("a", None, 4), ("b", None, 4), ("b", "y", 1), ("c", "y", 3), ("c", "y", 3), (None, "x", 9)]
+    hist = spark.createDataFrame(rows, "g string, k string, cnt bigint")
+    want = {("a", "b", 3, 1, 3, 6), ("b", "c", 1, 1, 6, 6)}
+    assert set(map(tuple, similar.pair_overlaps(hist, "g", ["k"]).collect())) == want
+    monkeypatch.setattr(similar, "MATRIX_GROUPS", 1)
+    assert set(map(tuple, similar.pair_overlaps(hist, "g", ["k"]).collect())) == want
+
+
+def test_sticky_state_with_null_positions_hot_or_not(spark):
+    from pyspark.sql import functions as F
+
+    from blobloom.operators.ordered import Step, scan
+
+    rows = [(1, None if i == 0 else i, 7 if i == 0 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, t int, v int")
+    step = Step(lasts={"state": F.col("v")})
+    for hot in (None, 20):
+        assert {r["state"] for r in scan(df, ["k"], ["t"], step, hot_rows=hot).collect()} == {7}
+
+
+def test_many_ranges_need_no_width(spark):
+    from blobloom.operators.lookups import range_lookup
+
+    ranges = spark.createDataFrame([(i, 10 * i, 10 * i + (500 if i == 3 else 4)) for i in range(80)], "id int, lo int, hi int")
+    values = spark.createDataFrame([(v,) for v in range(-5, 850, 3)], "v int")
+    want = {v: min((i for i in range(80) if 10 * i <= v <= 10 * i + (500 if i == 3 else 4)), default=0) for v in range(-5, 850, 3)}
+    assert {r["v"]: r["id"] for r in range_lookup(values, "v", ranges, "id", "lo", "hi").collect()} == want
