@@ -122,10 +122,10 @@ def census(docs: DataFrame, window: int) -> DataFrame:
             sent = ~twice | lead
             target = (grams >> np.uint64(33)) % np.uint64(targets)
             rows = []
-            for t in range(targets):
-                here = np.flatnonzero((target == t) & (sent | twice))
-                if not len(here):
-                    continue
+            dealt = np.argsort(target, kind="stable")
+            edges = np.searchsorted(target[dealt], np.arange(targets + 1))
+            for t in np.flatnonzero(np.diff(edges)).tolist():
+                here = dealt[edges[t] : edges[t + 1]]  # in the order of the documents
                 slots, local = np.unique(slot[here], return_inverse=True)
                 state = (twice[here].astype(np.uint8) << 1) | sent[here]
                 keys = np.stack([doc[slots], np.array(digests, np.int64)[slots]]).astype("<i8").tobytes()
@@ -190,12 +190,11 @@ def suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[i
                 yield doc, digest, place, b" ".join(words[max(0, place - before) : place]), b" ".join(words[place : place + window])
 
 
-def prefix_hashes(right: bytes) -> list[int]:
-    """Hashes of the first 1 to GRAM words."""
-    parts, out = right.split(b" ", GRAM), []
+def prefix_hashes(right: bytes) -> Iterator[int]:
+    """Hashes of the first 1 to GRAM words, one after the other."""
+    parts = right.split(b" ", GRAM)
     for k in range(1, GRAM + 1):
-        out.append(xxhash.xxh64_intdigest(b" ".join(parts[:k]), k))
-    return out
+        yield xxhash.xxh64_intdigest(b" ".join(parts[:k]), k)
 
 
 def prefix_counts(candidates: DataFrame, window: int) -> np.ndarray:
@@ -276,9 +275,10 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
                 seen[left, right] = (min(low, doc), max(high, doc))
             rows = []
             for (left, right), (low, high) in seen.items():
-                hashes = prefix_hashes(right)
-                length = next((k for k, h in enumerate(hashes) if counts[k, h % COUNTERS] <= GROUP), GRAM - 1)
-                rows.append((hashes[length] - 2**63, left, right, low, high))
+                for k, part in enumerate(prefix_hashes(right)):
+                    if counts[k, part % COUNTERS] <= GROUP:
+                        break
+                rows.append((part - 2**63, left, right, low, high))
             if rows:
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "low", "high"])
