@@ -106,8 +106,8 @@ def judge(df: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_id",
     """(key, host, path, rule, verdict, score) of every URL.
 
     verdict: the rule's, else block where the trees find blocking likelier. They learn from the URLs
-    that rules label; counts of suffixes cover all of those. With rules of one kind only, the rest
-    gets that verdict's opposite of nothing: allow. A null URL has an empty host and path, and is
+    that rules label; counts of suffixes cover all of those. If all of those have one label there is
+    nothing to learn, and the rest is allowed. A null URL has an empty host and path, and is
     judged by its (empty) features. Repeated rows are judged each; an empty table gives none.
     """
     pages = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{url}`").cast("string").alias("url"))
