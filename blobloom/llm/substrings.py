@@ -21,13 +21,14 @@ Nodes compare whole words, so a hash that collides only costs a comparison.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 GROUP, COUNTERS = 100_000, 1 << 14
 # Words of the documents that one map step looks at together.
 TOGETHER = 600_000
+# Words whose hashes a task remembers.
+KNOWN = 1_000_000
 
 
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,11 +62,36 @@ def unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(packed)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    seen: dict[bytes, int] = {}
-    codes = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter(map(digest, seen), np.uint64, len(seen))[codes]
+class Hashes(dict):
+    """Hash of every word that was asked for; begins anew beyond KNOWN words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+class Numbers(dict):
+    """A number for every word that was asked for, from 0 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = len(self)
+        return value
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value, the leftmost of equal ones, of every `width` neighbours."""
+    place, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        left = values[:-step] <= values[step:]
+        values, place = np.where(left, values[:-step], values[step:]), np.where(left, place[:-step], place[step:])
+        span += step
+    return place
 
 
 def anchors(hashes: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,8 +106,8 @@ def anchors(hashes: np.ndarray, lengths: np.ndarray, window: int) -> tuple[np.nd
     inside = np.ones(n - window + 1, bool)  # windows that do not reach into the next document
     for end in np.cumsum(lengths)[:-1].tolist():
         inside[max(0, end - window + 1) : end] = False
-    least = sliding_window_view(grams, window - GRAM + 1).argmin(axis=1) + np.arange(n - window + 1)
-    places = np.unique(least[inside])
+    least = least_places(grams, window - GRAM + 1)[inside]
+    places = least[np.diff(least, prepend=-1) > 0]  # they never go back
     return grams[places], places
 
 
@@ -104,9 +132,10 @@ def census(docs: DataFrame, window: int) -> DataFrame:
     targets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for ids, digests, words in together(batches, "text"):
             lengths = np.array([len(w) for w in words], np.int64)
-            grams, places = anchors(word_hashes([w for d in words for w in d]), lengths, window)
+            grams, places = anchors(hashes.of([w for d in words for w in d]), lengths, window)
             starts = np.cumsum(lengths) - lengths
             slot = np.searchsorted(starts + lengths, places, side="right")
             place = places - starts[slot]
@@ -180,32 +209,68 @@ def _which(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, first
 
 
-def suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-    """(doc_id, digest, place, words before, words from the anchor on) of every anchor that came back."""
-    before = window - GRAM
-    for batch in batches:
-        for doc, digest, packed, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "packed", "places")), strict=True):
-            words = unpacked(packed).split()
-            for place in np.unique(np.frombuffer(b"".join(blobs), "<u4")).tolist():
-                yield doc, digest, place, b" ".join(words[max(0, place - before) : place]), b" ".join(words[place : place + window])
+@dataclass
+class Found:
+    """Documents whose anchors came back, joined one after the other."""
+
+    docs: np.ndarray
+    digests: np.ndarray
+    words: list[bytes]
+    starts: np.ndarray  # of each document among the words, and the end
+    places: np.ndarray  # of the anchors among the words, in order
+
+    def __post_init__(self) -> None:
+        self.slot = np.searchsorted(self.starts, self.places, side="right") - 1
+
+    def sides(self, window: int) -> Iterator[tuple[bytes, bytes]]:
+        """Words before each anchor that a window can reach, and words from the anchor on."""
+        whole, n = b" ".join(self.words), len(self.words)
+        begin = np.zeros(n + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, self.words), np.int64, n) + 1, out=begin[1:])
+        first = begin[np.maximum(self.places - (window - GRAM), self.starts[self.slot])]
+        last = begin[np.minimum(self.places + window, self.starts[self.slot + 1])] - 1
+        for low, at, high in zip(first.tolist(), begin[self.places].tolist(), last.tolist(), strict=True):
+            yield whole[low : max(at - 1, 0)], whole[at:high]
+
+    def longer(self, rolled: np.ndarray, which: np.ndarray, k: int, hashes: Hashes) -> np.ndarray:
+        """Hashes of the prefixes of these anchors, with word k added."""
+        added = hashes.of(list(map(self.words.__getitem__, (self.places[which] + k).tolist())))
+        rolled = rolled * MIX + added
+        return rolled ^ rolled >> np.uint64(29)
 
 
-def prefix_hashes(right: bytes) -> Iterator[int]:
-    """Hashes of the first 1 to GRAM words, one after the other."""
-    parts = right.split(b" ", GRAM)
-    for k in range(1, GRAM + 1):
-        yield xxhash.xxh64_intdigest(b" ".join(parts[:k]), k)
+def found_again(batches: Iterator[pa.RecordBatch]) -> Iterator[Found]:
+    """The documents with their anchors, so many at a time that they have about TOGETHER words."""
 
+    def joined(held: list) -> Found:
+        docs, digests, parts, places = zip(*held, strict=True)
+        starts = np.cumsum([0, *map(len, parts)])
+        places = np.unique(np.concatenate([p + s for p, s in zip(places, starts.tolist(), strict=False)]))
+        return Found(np.array(docs, np.int64), np.array(digests, np.int64), [w for part in parts for w in part], starts, places)
 
-def prefix_counts(candidates: DataFrame, window: int) -> np.ndarray:
+    held, size = [], 0
+    for batch in batches:
+        for doc, digest, packed, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "packed", "places")), strict=True):
+            held.append((doc, digest, unpacked(packed).split(), np.frombuffer(b"".join(blobs), "<u4").astype(np.int64)))
+            size += len(held[-1][2])
+            if size >= TOGETHER:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def prefix_counts(candidates: DataFrame) -> np.ndarray:
     """Suffixes per length of prefix and counter: GRAM rows of COUNTERS, whatever the size of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((GRAM, COUNTERS), np.int64)
-        for batch in batches:
-            for *_, right in suffixes(iter([batch]), window):
-                for k, h in enumerate(prefix_hashes(right)):
-                    counts[k, h % COUNTERS] += 1
+        counts, hashes = np.zeros((GRAM, COUNTERS), np.int64), Hashes()
+        for found in found_again(batches):
+            every = np.arange(len(found.places))
+            rolled = np.zeros(len(every), np.uint64)
+            for k in range(GRAM):
+                rolled = found.longer(rolled, every, k, hashes)
+                counts[k] += np.bincount((rolled % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         length, counter = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(length * COUNTERS + counter), pa.array(counts[length, counter])], names=["counter", "n"])
 
@@ -222,14 +287,14 @@ def tree_minima(left: list[bytes], right: list[bytes], doc: np.ndarray, window:
     The suffix tree of the group as an array: suffixes in order, with the common prefix of neighbours.
     """
     n, before = len(right), window - GRAM
-    codes: dict[bytes, int] = {}
-    number = codes.setdefault
+    codes = Numbers()
     after, back = np.full((n, window), -1, np.int64), np.full((n, before), -1, np.int64)
-    for i in range(n):
-        words = right[i].split()
-        after[i, : len(words)] = [number(w, len(codes)) for w in words]
-        words = left[i].split()[::-1]
-        back[i, : len(words)] = [number(w, len(codes)) for w in words]
+    for sides, table, from_end in ((right, after, False), (left, back[:, ::-1], True)):  # the words before, read backwards
+        width = table.shape[1]
+        lengths = np.fromiter((side.count(b" ") + 1 if side else 0 for side in sides), np.int64, n)[:, None]
+        words = b" ".join(filter(None, sides)).split()
+        at = np.arange(width) >= width - lengths if from_end else np.arange(width) < lengths
+        table[at] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     order = np.lexsort(after.T[::-1])
     sorted_after, sorted_back, owner = after[order], back[order], doc[order]
     same = np.logical_and.accumulate(sorted_after[1:] == sorted_after[:-1], axis=1) & (sorted_after[1:] >= 0)
@@ -265,20 +330,25 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
     docs = documents(df, key, text).where("doc_id is not null").withColumn("digest", F.xxhash64("text"))
     found = census(docs, window).groupBy("doc_id", "digest").agg(F.collect_list("places").alias("places"))
     candidates = written(keyed(df, key, text).where("doc_id is not null").join(found, ["doc_id", "digest"]), "candidates")
-    counts = prefix_counts(candidates, window)
+    counts = prefix_counts(candidates)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple[bytes, bytes], tuple[int, int]] = {}
-            for doc, _, _, left, right in suffixes(iter([batch]), window):
-                low, high = seen.get((left, right), (doc, doc))
-                seen[left, right] = (min(low, doc), max(high, doc))
-            rows = []
-            for (left, right), (low, high) in seen.items():
-                for k, part in enumerate(prefix_hashes(right)):
-                    if counts[k, part % COUNTERS] <= GROUP:
-                        break
-                rows.append((part - 2**63, left, right, low, high))
+        hashes = Hashes()
+        for found in found_again(batches):
+            which = np.arange(len(found.places))
+            part, rolled = np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)
+            for k in range(GRAM):  # as many words as it takes
+                rolled = found.longer(rolled, which, k, hashes)
+                fits = (counts[k, (rolled % np.uint64(COUNTERS)).astype(np.int64)] <= GROUP) | (k == GRAM - 1)
+                part[which[fits]] = rolled[fits] * MIX + np.uint64(k)
+                which, rolled = which[~fits], rolled[~fits]
+            # Each suffix once, with its group and its smallest and largest document.
+            seen: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+            owners = found.docs[found.slot].tolist()
+            for group, doc, sides in zip(part.view(np.int64).tolist(), owners, found.sides(window), strict=True):
+                known = seen.get(sides)
+                seen[sides] = (group, min(known[1], doc), max(known[2], doc)) if known else (group, doc, doc)
+            rows = [(group, left, right, low, high) for (left, right), (group, low, high) in seen.items()]
             if rows:
                 kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "low", "high"])
@@ -318,11 +388,10 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
 
     def occur(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            rows = [(digest(left + b"\n" + right), doc, of, place) for doc, of, place, left, right in suffixes(iter([batch]), window)]
-            if rows:
-                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["suffix", "doc_id", "digest", "place"])
+        for found in found_again(batches):
+            keys = [digest(left + b"\n" + right) for left, right in found.sides(window)]
+            columns = [found.docs[found.slot], found.digests[found.slot], found.places - found.starts[found.slot]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], names=["suffix", "doc_id", "digest", "place"])
 
     dealt = candidates.mapInArrow(deal, "part bigint, left binary, right binary, low bigint, high bigint")
     trees = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(grow, "suffix binary, minima array<bigint>")
@@ -332,20 +401,24 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
     return places.select("doc_id", "digest", "place", sum(bits[1:], bits[0]).alias("mask")).where("mask > 0")
 
 
-def covered(n_words: int, marks: list | None, window: int) -> np.ndarray:
+def marked(found: DataFrame, window: int) -> DataFrame:
+    """(doc_id, digest, marks): each mark is a place and its mask in one number."""
+    mark = F.shiftleft(F.col("place"), window - GRAM + 1).bitwiseOR(F.col("mask").cast("bigint"))
+    return found.groupBy("doc_id", "digest").agg(F.collect_list(mark).alias("marks"))
+
+
+def covered(n_words: int, marks: np.ndarray, window: int) -> np.ndarray:
     """Whether each word lies in a marked window."""
-    change = np.zeros(n_words + 1, np.int64)
-    for mark in marks or ():
-        for j in range(window - GRAM + 1):
-            if mark["mask"] >> j & 1:
-                change[mark["place"] - j] += 1
-                change[mark["place"] - j + window] -= 1
+    steps = np.arange(window - GRAM + 1)
+    starts = ((marks >> len(steps))[:, None] - steps)[(marks[:, None] >> steps & 1) == 1]
+    change = np.bincount(starts, minlength=n_words + 1) - np.bincount(starts + window, minlength=n_words + 1)
     return np.cumsum(change[:-1]) > 0
 
 
-def kept_words(words: list, marks: list | None, window: int) -> list:
-    gone = covered(len(words), marks, window)
-    return [w for w, x in zip(words, gone, strict=True) if not x] if gone.any() else words
+def kept_words(words: list, marks: np.ndarray | None, window: int) -> list:
+    if marks is None or not len(marks):
+        return words
+    return list(compress(words, (~covered(len(words), marks, window)).tolist()))
 
 
 def without_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
@@ -358,16 +431,18 @@ def without_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text:
     """
     import hashlib
 
-    marks = repeats(df, window, key, text).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    marks = marked(repeats(df, window, key, text), window)
     # A row repeated in the table gives each mark as often; marks of one place are the same.
     rows = keyed(df, key, text).join(marks, ["doc_id", "digest"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, packed, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "marks")), strict=True):
+            marks = batch.column("marks")
+            values, edges = marks.flatten().to_numpy(), np.cumsum([0, *(n or 0 for n in marks.value_lengths().to_pylist())]).tolist()
+            for i, (doc, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed")), strict=True)):
                 words = unpacked(packed).split()
-                kept = kept_words(words, places, window)
+                kept = kept_words(words, values[edges[i] : edges[i + 1]], window)
                 line = b" ".join(kept)
                 out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(line).hexdigest() if digests else line.decode("utf-8", "surrogatepass")))
             if out:
@@ -380,7 +455,7 @@ def without_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text:
 
 def cut_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The same rows and columns; texts that lose words are their kept words joined by one blank, all others stay as they are."""
-    marks = repeats(df, window, key, text).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
+    marks = marked(repeats(df, window, key, text), window)
     marks = marks.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("marks").alias("_marks"))
     whole, own = F.coalesce(df[text].cast("string"), F.lit("")), df[key].cast("bigint")
     rows = df.join(marks, (own == marks["_doc"]) & (F.xxhash64(whole) == marks["_digest"]), "left")
@@ -390,9 +465,9 @@ def cut_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str
         out = []
         for value, found in zip(texts, places, strict=True):
             words = (value or "").encode("utf-8", "surrogatepass").split()
-            out.append(b" ".join(kept_words(words, None if found is None else list(found), window)).decode("utf-8", "surrogatepass"))
+            out.append(b" ".join(kept_words(words, None if found is None else np.asarray(found, np.int64), window)).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype="object")
 
-    marked = F.col("_marks").isNotNull()
-    changed = F.when(marked, cut(F.when(marked, df[text].cast("string")), F.col("_marks"))).otherwise(df[text].cast("string"))
+    some = F.col("_marks").isNotNull()
+    changed = F.when(some, cut(F.when(some, df[text].cast("string")), F.col("_marks"))).otherwise(df[text].cast("string"))
     return rows.select(*[changed.alias(c) if c == text else df[c] for c in df.columns])
