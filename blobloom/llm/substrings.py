@@ -41,6 +41,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 GROUP, COUNTERS = 100_000, 1 << 14
 # Words of the documents that one map step looks at together.
 TOGETHER = 600_000
+# Different suffixes that a task gathers before it sends them.
+GATHERED = 300_000
 # Words whose hashes a task remembers.
 KNOWN = 1_000_000
 
@@ -333,7 +335,13 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
     counts = prefix_counts(candidates)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        def sent(seen: dict) -> pa.RecordBatch:
+            rows = [(group, left, right, low, high) for (left, right), (group, low, high) in seen.items()]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "low", "high"])
+
+        # Each suffix once, with its group and its smallest and largest document.
+        hashes, seen = Hashes(), {}
         for found in found_again(batches):
             which = np.arange(len(found.places))
             part, rolled = np.zeros(len(which), np.uint64), np.zeros(len(which), np.uint64)
@@ -342,16 +350,15 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
                 fits = (counts[k, (rolled % np.uint64(COUNTERS)).astype(np.int64)] <= GROUP) | (k == GRAM - 1)
                 part[which[fits]] = rolled[fits] * MIX + np.uint64(k)
                 which, rolled = which[~fits], rolled[~fits]
-            # Each suffix once, with its group and its smallest and largest document.
-            seen: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
             owners = found.docs[found.slot].tolist()
             for group, doc, sides in zip(part.view(np.int64).tolist(), owners, found.sides(window), strict=True):
                 known = seen.get(sides)
                 seen[sides] = (group, min(known[1], doc), max(known[2], doc)) if known else (group, doc, doc)
-            rows = [(group, left, right, low, high) for (left, right), (group, low, high) in seen.items()]
-            if rows:
-                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "left", "right", "low", "high"])
+            if len(seen) >= GATHERED:
+                yield sent(seen)
+                seen = {}
+        if seen:
+            yield sent(seen)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trees of the groups of a partition; several small groups are sorted together."""
