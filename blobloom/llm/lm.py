@@ -1,12 +1,13 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Tokens are words (A-Z in lower case) and one end per document. The filter holds word counts and
-counts of word pairs, quantised to levels 1, 2, ... of powers of two: a pair of level q is entered as
-(pair, 1) to (pair, q), and its level is read by probing until a probe fails. It is cut into segments
-by hash; a task counts the n-grams of a segment and fills it, so only filter bits reach the driver and
-the workers. Its size is a parameter: a segment whose n-grams exceed its share enters the most
-frequent ones, and others are backed off from. Probabilities are smoothed with a Dirichlet prior on
-words: P(w|h) = (c(h,w) + mu P(w)) / (c(h) + mu).
+Tokens are words (A-Z in lower case) and one end per document. The filter holds counts of word pairs,
+quantised to levels 1, 2, ... of powers of two: a pair of level q is entered as (pair, 1) to (pair, q),
+and its level is read by probing until a probe fails. It is cut into segments by hash. Documents are
+dealt into chunks; a chunk sends its distinct pairs and words to their segments, where one task counts
+them, fills the segment (as large as its entries ask for, so none is left out), probes it for each
+chunk, and answers with levels of pairs and exact counts of words. No filter bits leave that task, and
+nothing hangs on the size of the corpus but the number of segments. Probabilities are smoothed with a
+Dirichlet prior on words: P(w|h) = (c(h,w) + mu P(w)) / (c(h) + mu).
 
 Beside it stands an exact base score of word counts over all training documents. Counts of the most
 frequent words go to the workers, all others join by word.
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,7 @@ def middle(level: np.ndarray) -> np.ndarray:
 
 
 class LogFilter:
-    """Bits of all segments; `segments` and bits per segment are powers of two."""
+    """Bits of all segments; `segments` is a power of two, bits per segment a multiple of 8."""
 
     def __init__(self, segments: int, segment_bits: int, bits: np.ndarray | None = None):
         self.segments, self.segment_bits = segments, segment_bits
@@ -76,18 +78,21 @@ class LogFilter:
         return np.stack([(first + np.uint64(i) * second) % np.uint64(self.segment_bits) for i in range(PROBES)])
 
     def filled(self, grams: np.ndarray, counts: np.ndarray) -> bytes:
-        """Bits of one segment: its most frequent n-grams, as many as BITS_PER_ENTRY lets in."""
+        """Bits of one segment, with all its n-grams; `sized` says how many bits they need."""
         level = levels(counts)
-        order = np.lexsort((grams, -counts))
-        fits = np.cumsum(level[order]) <= self.segment_bits // BITS_PER_ENTRY
-        # All or none of the n-grams of one count, so that the choice does not hang on hashes.
-        least = counts[order][~fits].max() if not fits.all() else 0
-        grams, level = grams[counts > least], level[counts > least]
         marks = np.zeros(self.segment_bits, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
             marks[self.places(grams[level >= q], q)] = True
         return np.packbits(marks, bitorder="little").tobytes()
 
+    @classmethod
+    def sized(cls, grams: np.ndarray, counts: np.ndarray) -> LogFilter:
+        """One segment that gives each of its entries BITS_PER_ENTRY bits."""
+        bits = BITS_PER_ENTRY * int(levels(counts).sum())
+        one = cls(1, max(64, -(-bits // 64) * 64))
+        one.bits = np.frombuffer(one.filled(grams, counts), np.uint8)
+        return one
+
     def level(self, grams: np.ndarray) -> np.ndarray:
         """Level of each n-gram, by probing upwards until a probe fails."""
         result = np.zeros(len(grams), np.int64)
@@ -149,65 +154,84 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fill(train: DataFrame, megabytes: int, segments: int) -> LogFilter:
-    """The filter of all words and pairs of whole texts."""
-    empty = LogFilter(segments, megabytes * (1 << 23) // segments)
+def packed(batches: list[pa.RecordBatch]) -> bytes:
+    """Rows as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        for batch in batches:
+            stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def answered(docs: DataFrame, segments: int) -> DataFrame:
+    """(chunk, segment, pairs, words): what each segment knows of a chunk's distinct pairs and words, in
+    the order of their hashes: levels as bytes, counts as 64-bit integers. Segment -1 is the chunk's rows."""
     shift = np.uint64(64 - segments.bit_length() + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
+        # Numbers that a repeated task gives again.
+        first, serial = TaskContext.get().partitionId() << 32, 0
+        held: list[pa.RecordBatch] = []
         size = 0
 
-        def rows() -> pa.RecordBatch:
-            known, codes, lengths = coded(held)
-            hashes = hashed(known)[codes]
-            ends = xxhash.xxh64_intdigest(END)
-            before = np.concatenate(([np.uint64(ends)], hashes[:-1]))
-            before[np.cumsum(lengths) - lengths] = ends
-            grams, counts = np.unique(np.concatenate([mixed(hashes, 1), pair_hashes(before, hashes)]), return_counts=True)
-            segment = (grams >> shift).astype(np.int64)
-            edges = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1], [True])))
+        def rows(chunk: int) -> Iterator[pa.RecordBatch]:
+            texts = [t for batch in held for t in batch.column("text").to_pylist()]
+            learnt = np.array([not x for batch in held for x in batch.column("held_out").to_pylist()])
+            known, codes, lengths = coded(texts)
+            times = np.repeat(learnt, lengths).astype(np.int64)
+            hashes = hashed(known)
+            words = mixed(hashes, 1)
+            order = np.argsort(words, kind="stable")
+            words, seen = words[order], np.bincount(codes, times, len(known)).astype(np.int64)[order]
+            before = histories(codes, lengths, known.index(END))
+            grams, which = np.unique(pair_hashes(hashes[before], hashes[codes]), return_inverse=True)
+            counts = np.bincount(which, times, len(grams)).astype(np.int64)
             # Within a segment the other bits tell n-grams apart; 48 of them are kept.
-            high, low = (grams >> np.uint64(32)).astype("<u2"), grams.astype("<u4")
-            small = np.minimum(counts, 255).astype(np.uint8)
-            large = [counts[a:b][counts[a:b] >= 255].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            cut = [(int(segment[a]), high[a:b].tobytes(), low[a:b].tobytes(), small[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            columns = [*zip(*cut, strict=True), large]
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["segment", "high", "low", "small", "large"])
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(text)
-                size += len(text)
-                if size >= 6 * TOGETHER:
-                    yield rows()
-                    held, size = [], 0
+            high, low, small = (grams >> np.uint64(32)).astype("<u2"), grams.astype("<u4"), np.minimum(counts, 255).astype(np.uint8)
+            ours, theirs = (grams >> shift).astype(np.int64), (words >> shift).astype(np.int64)
+            there = np.union1d(ours, theirs)
+            spans = zip(*(np.searchsorted(x, there, side).tolist() for x in (ours, theirs) for side in ("left", "right")), strict=True)
+            cut = [
+                (s, chunk, high[a:b].tobytes(), low[a:b].tobytes(), small[a:b].tobytes(), counts[a:b][small[a:b] == 255].astype("<u4").tobytes(), words[c:d].astype("<u8").tobytes(), seen[c:d].astype("<u4").tobytes())
+                for s, (a, b, c, d) in zip(there.tolist(), spans, strict=True)
+            ]
+            cut.append((-1 - chunk, chunk, packed(held), b"", b"", b"", b"", b""))
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cut, strict=True), kinds, strict=True)], names=["segment", "chunk", "high", "low", "small", "large", "words", "seen"])
+
+        for batch in small_batches(batches, "text", 1 << 20):
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if size >= 6 * TOGETHER:
+                yield from rows(first + serial)
+                held, size, serial = [], 0, serial + 1
         if held:
-            yield rows()
+            yield from rows(first + serial)
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
+    def answer(part: pd.DataFrame) -> pd.DataFrame:
         segment = int(part["segment"].iloc[0])
+        if segment < 0:
+            return pd.DataFrame({"chunk": part["chunk"], "segment": -1, "pairs": part["high"], "words": part["words"]})
         join = lambda column, kind: np.frombuffer(b"".join(part[column]), kind)
         grams = np.uint64(segment) << shift | (join("high", "<u2").astype(np.uint64) << np.uint64(32) & (np.uint64(1) << shift) - np.uint64(1)) | join("low", "<u4")
         counts = join("small", np.uint8).astype(np.int64)
         counts[counts == 255] = join("large", "<u4")
         grams, which = np.unique(grams, return_inverse=True)
-        return pd.DataFrame({"segment": [segment], "bits": [empty.filled(grams, np.bincount(which, counts).astype(np.int64))]})
+        counts = np.bincount(which, counts, len(grams)).astype(np.int64)
+        level = LogFilter.sized(grams[counts > 0], counts[counts > 0]).level(grams).astype(np.uint8)[which]
+        words, at = np.unique(join("words", "<u8"), return_inverse=True)
+        exact = np.bincount(at, join("seen", "<u4"), len(words)).astype("<i8")[at]
 
-    schema = "segment int, high binary, low binary, small binary, large binary"
-    found = train.select("text").mapInArrow(send, schema).groupBy("segment").applyInPandas(build, "segment int, bits binary")
-    width = empty.segment_bits // 8
-    for row in written(found, "segments").toLocalIterator():
-        empty.bits[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
-    return empty
+        def cut(values: np.ndarray, column: str, width: int) -> list[bytes]:
+            ends = np.cumsum(part[column].str.len().to_numpy() // width).tolist()
+            return [values[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+        return pd.DataFrame({"chunk": part["chunk"], "segment": segment, "pairs": cut(level, "small", 1), "words": cut(exact, "words", 8)})
 
-def known_bits(grams: np.ndarray, segments: int) -> np.ndarray:
-    """An n-gram's hash as the filter knows it: the segment's bits and the low 48."""
-    shift = np.uint64(64 - segments.bit_length() + 1)
-    low = np.uint64((1 << min(48, int(shift))) - 1)
-    return (grams >> shift << shift) | (grams & low)
+    sent = docs.select("doc_id", "held_out", "text").mapInArrow(send, "segment bigint, chunk bigint, high binary, low binary, small binary, large binary, words binary, seen binary")
+    return sent.groupBy("segment").applyInPandas(answer, "chunk bigint, segment bigint, pairs binary, words binary")
 
 
 def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", megabytes: int = 16, segments: int = 4096, prior: float = 30.0) -> DataFrame:
@@ -215,7 +239,8 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", mega
 
     Learns from documents whose crc32 of the id, modulo 5, is not 1 (a missing id is learnt from).
     A null or empty text is one end. Repeated rows are learnt and scored each. Without training
-    documents every count is 0. megabytes: the filter, which is what a worker holds; power of two.
+    documents every count is 0. segments: of the filter, at least (a power of two); they double until
+    each has at most 16,384 training tokens for each of the megabytes, which bounds what a task holds.
     """
     docs = documents(df, key, text).select("doc_id", "text", (fold() == 1).alias("held_out"))
     train = docs.where(~F.col("held_out"))
@@ -233,53 +258,47 @@ def score_documents(df: DataFrame, key: str = "doc_id", text: str = "text", mega
     rows = counts.where((F.col("step") >= least) & (F.col("step") >= 0)).select("word", "n").collect()
     context = df.sparkSession.sparkContext
     frequent = context.broadcast({bytes(r["word"]): r["n"] for r in rows})
-    bits = context.broadcast(fill(train, megabytes, segments))
+    while segments * (megabytes << 14) < n:
+        segments *= 2
     below = n + 0.5 * (v + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, table = frequent.value, bits.value
-        base = secrets.randbits(39) << 24
-        serial = 0
-        for batch in small_batches(batches, "text", 4 << 20):
-            texts = batch.column("text").to_pylist()
-            if not texts:
-                continue
-            known, codes, lengths = coded(texts)
-            hashes = hashed(known)
-            single = middle(table.level(known_bits(mixed(hashes, 1), segments)))
-            end = known.index(END)
-            before = histories(codes, lengths, end)
-            pairs = middle(table.level(known_bits(pair_hashes(hashes[before], hashes[codes]), segments)))
-            word = (single[codes] + 0.5) / below
-            history = single[before]
-            logs = np.log10((np.minimum(pairs, history) + prior * word) / (history + prior))
-            count = np.fromiter((exact.get(w, -1) for w in known), np.int64, len(known))
-            own = np.log10((np.maximum(count, 0) + 0.5) / below)[codes] * (count[codes] >= 0)
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            rest = []
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                rare = codes[a:b][count[codes[a:b]] < 0]
-                rest.append([{"word": known[c], "times": t} for c, t in Counter(rare.tolist()).items()])
-            kinds = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
-            number = base + serial + np.arange(len(texts))
-            serial += len(texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(number),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(lengths),
-                    pa.array(np.add.reduceat((count[codes] > 0).astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(own, starts)),
-                    pa.array(np.add.reduceat(logs, starts)),
-                    pa.array(rest, kinds),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "own", "score", "rest"],
-            )
+    def score(part: pd.DataFrame) -> pd.DataFrame:
+        exact = frequent.value
+        part = part.sort_values("segment")
+        rows = pa.ipc.open_stream(part["pairs"].iloc[0]).read_all()
+        known, codes, lengths = coded(rows.column("text").to_pylist())
+        hashes = hashed(known)
+        single = np.empty(len(known))
+        single[np.argsort(mixed(hashes, 1), kind="stable")] = np.frombuffer(b"".join(part["words"]), "<i8")
+        before = histories(codes, lengths, known.index(END))
+        _, which = np.unique(pair_hashes(hashes[before], hashes[codes]), return_inverse=True)
+        pairs = middle(np.frombuffer(b"".join(part["pairs"].iloc[1:]), np.uint8).astype(np.int64))[which]
+        word = (single[codes] + 0.5) / below
+        history = single[before]
+        logs = np.log10((np.minimum(pairs, history) + prior * word) / (history + prior))
+        count = np.fromiter((exact.get(w, -1) for w in known), np.int64, len(known))
+        own = np.log10((np.maximum(count, 0) + 0.5) / below)[codes] * (count[codes] >= 0)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        rest = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            rare = codes[a:b][count[codes[a:b]] < 0]
+            rest.append([{"word": known[c], "times": t} for c, t in Counter(rare.tolist()).items()])
+        return pd.DataFrame(
+            {
+                "row": (secrets.randbits(39) << 24) + np.arange(len(lengths)),
+                "doc_id": rows.column("doc_id").to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get),
+                "held_out": rows.column("held_out").to_pandas(),
+                "n_tokens": lengths,
+                "known": np.add.reduceat((count[codes] > 0).astype(np.int64), starts),
+                "own": np.add.reduceat(own, starts),
+                "score": np.add.reduceat(logs, starts),
+                "rest": rest,
+            }
+        )
 
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, own double, score double, rest array<struct<word:binary,times:bigint>>"
-    scored = written(docs.select("doc_id", "text", "held_out").mapInArrow(score, schema), "scored")
+    scored = written(answered(docs, segments).groupBy("chunk").applyInPandas(score, schema), "scored")
     # Words beyond the frequent ones: one row per document and word, joined to their counts.
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times")
     few = counts.where((F.col("step") < least) | (F.col("step") < 0))

@@ -523,6 +523,35 @@ def test_lm(spark, odd, empty, docs, monkeypatch, frequent):
     assert lm.score_documents(empty, megabytes=1).collect() == []
 
 
+def test_lm_scores_by_all_pairs(spark):
+    draw = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{x}" for x in draw.integers(0, 30_000, 4000))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(3)] + [(None, "w1 W2 w1"), (7, None)]
+    held = {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    words, pairs, tokens = collections.Counter(), collections.Counter(), {}
+    for i, t in rows:
+        tokens[i, t] = lm.tokens_of(text_of(t))
+        if not held[i]:
+            words.update(tokens[i, t])
+            pairs.update(zip([lm.END, *tokens[i, t]], tokens[i, t], strict=False))
+    # More entries than a filter of one megabyte has room for.
+    assert len(pairs) * lm.BITS_PER_ENTRY > 1 << 23
+    below = sum(words.values()) + 0.5 * (len(words) + 1)
+    quantised = {p: float(lm.middle(lm.levels(np.array([c])))[0]) for p, c in pairs.items()}
+    want = collections.defaultdict(list)
+    for (i, t), line in tokens.items():
+        want[i].append(sum(math.log10((min(quantised.get((h, w), 0), words[h]) + 30 * (words[w] + 0.5) / below) / (words[h] + 30)) for h, w in zip([lm.END, *line], line, strict=False)))
+    got = collections.defaultdict(list)
+    for r in lm.score_documents(table(spark, rows), megabytes=1).collect():
+        assert r["held_out"] == held[r["doc_id"]]
+        got[r["doc_id"]].append(r["score"])
+    assert got.keys() == want.keys()
+    for i in want:
+        for a, b in zip(sorted(got[i]), sorted(want[i]), strict=True):
+            # The filter may only take a few pairs for more frequent ones.
+            assert b - 1e-6 <= a <= b + 0.03 * abs(b) + 1e-6, i
+
+
 def test_log_filter():
     draw = np.random.default_rng(3)
     grams = np.unique(draw.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
