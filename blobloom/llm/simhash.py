@@ -7,10 +7,15 @@ is one key, so every pair that must be found meets under a key, and a key is as
 bits. A list of postings is read by one task: it tallies the shared positional bytes of each pair,
 keeps pairs that reach the minimum, verifies their bits, and hands on a spanning forest of the
 links, not the links themselves. Equal fingerprints are one posting, so a group of copies counts once.
+
+Texts that are alike by the Jaccard likeness of their sets of shingles (`SetPlan`) differ in more bits
+than an index of bytes can find. Their fingerprint is a digest of the set, their keys are bands of
+least hashes, and every link is decided on the sets themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,17 +58,31 @@ def exact_plan(shingle: int = 3, distance: int = 3) -> Plan:
     return Plan(shingle, 8, distance, least, tuple(itertools.combinations(range(8), least)))
 
 
-def similar_plan(shingle: int = 5, similarity: float = 0.8) -> Plan:
-    """256 bits, linked if that share of the bits agrees; for texts that differ too much for 64 bits.
+@dataclass(frozen=True)
+class SetPlan:
+    """How texts are shingled, and from which Jaccard likeness of the sets of shingles they link.
+
+    Texts are compared if they agree on all `rows` least hashes of one of the `bands`.
+    """
+
+    shingle: int
+    similarity: float
+    rows: int
+    bands: int
+
+
+def similar_plan(shingle: int = 5, similarity: float = 0.8) -> SetPlan:
+    """Links texts whose sets of shingles have that Jaccard likeness, as counted on the sets.
 
-    Two texts whose sets of shingles have a Jaccard likeness of 0.8 agree on some 85 % of the bits.
-    No number of whole bytes is then certain to agree, but 8.6 of 32 do on average. Keys are the
-    pairs within bands of four bytes; some 94 % of the pairs at a likeness of 0.8 agree on one, 98 %
-    at 0.85, and nearly all above 0.9.
+    With five least hashes to a band, a pair at likeness s is compared unless all bands differ:
+    (1 - s^5)^bands. There are as many bands as keep this under 0.0004 at the similarity asked for:
+    20 of them at 0.8.
     """
-    bands = [range(i, i + 4) for i in range(0, 32, 4)]
-    keys = tuple(pair for band in bands for pair in itertools.combinations(band, 2))
-    return Plan(shingle, 32, int(256 * (1 - similarity) + 1e-9), 2, keys)
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity must be 0.5 to 1")
+    rows = 5
+    bands = 1 if similarity == 1 else int(np.ceil(np.log(4e-4) / np.log1p(-(similarity**rows))))
+    return SetPlan(shingle, similarity, rows, bands)
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -97,26 +116,58 @@ def fingerprint(text: str, shingle: int, size: int) -> bytes:
     return b"".join(parts)
 
 
-def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, fp BINARY) of every whole text."""
-    shingle, size = plan.shingle, plan.size
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def set_digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.astype("<u8").tobytes(), digest_size=16).digest()
+
+
+def band_keys(members: np.ndarray, plan: SetPlan) -> np.ndarray:
+    """One key per band: a hash of its least hashes; none for the empty set, whose copies share a digest."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    factors = np.random.default_rng(20_241).integers(0, 2**63, plan.rows * plan.bands, np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(len(factors), 2**64 - 1, np.uint64)
+    for start in range(0, len(members), 4096):  # bounds the memory of very long texts
+        x = members[start : start + 4096] ^ (members[start : start + 4096] >> np.uint64(31))
+        least = np.minimum(least, (x[:, None] * factors).min(axis=0))
+    keys = np.arange(plan.bands, dtype=np.uint64)
+    for column in least.reshape(plan.bands, plan.rows).T:
+        keys = (keys ^ column) * MIX
+        keys = keys ^ (keys >> np.uint64(29))
+    return keys.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, plan: Plan | SetPlan) -> DataFrame:
+    """(doc_id, fp BINARY) of every whole text, and its keys ARRAY if the plan is one of sets."""
+    sets = isinstance(plan, SetPlan)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            prints = [fingerprint(t, shingle, size) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.binary())], names=["doc_id", "fp"])
+            texts = batch.column("text").to_pylist()
+            if sets:
+                members = [shingle_set(t, plan.shingle) for t in texts]
+                columns = [pa.array([set_digest(m) for m in members], pa.binary()), pa.array([band_keys(m, plan) for m in members], pa.list_(pa.int64()))]
+            else:
+                columns = [pa.array([fingerprint(t, plan.shingle, plan.size) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "fp", "keys"][: 1 + len(columns)])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp binary")
+    return docs.mapInArrow(run, "doc_id bigint, fp binary" + ", keys array<bigint>" * sets)
 
 
-def fingerprint_column(text: Column, plan: Plan) -> Column:
+def fingerprint_column(text: Column, plan: Plan | SetPlan) -> Column:
     """The fingerprint of each text as a column; a null text is empty."""
 
+    def one(t: str) -> bytes:
+        return set_digest(shingle_set(t, plan.shingle)) if isinstance(plan, SetPlan) else fingerprint(t, plan.shingle, plan.size)
+
     @F.pandas_udf("binary")
     def prints(texts):
         import pandas as pd
 
-        return pd.Series([fingerprint(t or "", plan.shingle, plan.size) for t in texts], dtype="object")
+        return pd.Series([one(t or "") for t in texts], dtype="object")
 
     return prints(text)
 
@@ -253,13 +304,98 @@ def classes(prints: DataFrame, plan: Plan) -> DataFrame:
     return nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
-def near_duplicates(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
+def set_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that are alike, as pairs of numbers in the list.
+
+    1 - Jaccard is a metric. All sets are measured against one: those within half the distance that
+    links are alike among themselves, and only those within one and a half times of it can be alike
+    to one of these. So a dense list takes one pass instead of a square.
+    """
+    flat, sizes = np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    parent = list(range(len(sets)))
+    links: list[tuple[int, int]] = []
+    mark = np.zeros(len(flat), np.int64)
+
+    def likeness(x: int) -> np.ndarray:
+        own = flat[ends[x] - sizes[x] : ends[x]]
+        mark[own] = 1
+        shared = np.add.reduceat(mark[flat], ends - sizes)
+        mark[own] = 0
+        return shared / (sizes + sizes[x] - shared)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def link(x: int, y: int) -> None:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((x, y))
+
+    far, slack = 1 - similarity, 1e-9
+    rest = np.arange(len(sets))
+    while len(rest) > 1:
+        first = int(rest[0])
+        alike = likeness(first)[rest]
+        for y in rest[alike >= similarity - slack].tolist():
+            link(first, y)
+        core = rest[alike >= 1 - far / 2 + slack]
+        for y in rest[(alike < similarity - slack) & (alike >= 1 - 1.5 * far - slack)].tolist():
+            if len(core) > 1 and root(y) != root(first):
+                near = core[likeness(y)[core] >= similarity - slack]
+                if len(near):
+                    link(int(near[0]), y)
+        rest = np.setdiff1d(rest, core, assume_unique=True)
+    return links
+
+
+def set_classes(docs: DataFrame, prints: DataFrame, plan: SetPlan) -> DataFrame:
+    """(fp, node, component): one row per distinct set of shingles; node is its smallest doc_id.
+
+    prints: (doc_id, fp, keys), written before. A list of postings of one key is compared as a whole;
+    of lists with the same members, only one is. Sets are made again for members of such lists alone.
+    """
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "prints")
+    postings = nodes.where("node is not null").select(F.explode("keys").alias("key"), "node", "fp")
+    members = [F.count("*").alias("c"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("y")]
+    lists = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key"))
+    met = written(postings.join(lists.select("key"), "key"), "met")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            found = [shingle_set(t, plan.shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["fp", "members"])
+
+    # One document of each set that has met another.
+    wanted = met.select("fp", F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    known = texts.mapInArrow(sets, "fp binary, members binary").dropDuplicates(["fp"])
+    listed = met.join(known, "fp").select("key", "node", "members").repartition("key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "members")), strict=True))
+        for _, group in itertools.groupby(rows, lambda row: row[0]):
+            _, ids, parts = zip(*group, strict=True)
+            links = set_links([np.frombuffer(p, "<u8") for p in parts], plan.similarity)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    found = components(listed.mapInArrow(run, "a bigint, b bigint"))
+    return nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(df: DataFrame, plan: Plan | SetPlan, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: its fingerprint and the smallest doc_id it reaches over links.
 
     Null and empty texts have fingerprint zero and link like any other. Rows of one doc_id are one
     document. A row without doc_id has a fingerprint, but takes part in no group (its component is
     null, or the group's that has the same fingerprint). An empty table gives no rows.
     """
-    prints = written(fingerprints(documents(df, key, text), plan), "fingerprints")
-    found = classes(prints, plan)
+    docs = documents(df, key, text)
+    prints = written(fingerprints(docs, plan), "fingerprints")
+    found = set_classes(docs, prints, plan) if isinstance(plan, SetPlan) else classes(prints, plan)
     return prints.join(found, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))

@@ -265,6 +265,47 @@ def test_similar_plan_finds_copies_with_few_edits(spark):
     assert all(found[2 * i] == 2 * i for i in range(60))
 
 
+def shingled(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def edited(draw, name, likeness, repeats=False):
+    """Two texts of 400 words, the second with runs of words replaced until that likeness."""
+    words = [f"{name}w{draw.randint(0, 10**6)}" for _ in range(400)]
+    if repeats:
+        words[40:40] = ["again"] * 400
+    other = list(words)
+    # A run of n replaced words takes n + 4 shingles of some 396.
+    gone = round(396 * (1 - likeness) / (1 + likeness)) - 4
+    at = len(words) - 20 - gone
+    other[at : at + gone] = [f"{name}n{i}" for i in range(gone)]
+    return " ".join(words), " ".join(other)
+
+
+def test_similar_links_are_those_of_the_sets(spark):
+    draw = random.Random(12)
+    pairs = [edited(draw, i, 0.6 + 0.3 * i / 239, repeats=i % 2 == 1) for i in range(240)]
+    passage = " ".join(f"p{i}" for i in range(60))
+    pairs += [(f"{passage} one{i} two three{i} four five six", f"seven{i} eight nine ten{i} {passage} more{i} words") for i in range(2)]
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    sets = {i: shingled(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    seen = set()
+    for i in sets:
+        for j in sets:
+            if i < j and (common := len(sets[i] & sets[j])) and common >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+                seen.add((i, j))
+    assert 70 < len(seen) < 200
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, rows), simhash.similar_plan()).collect()}
+    assert found == {i: root(i) for i in sets}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (55, 50), (7, 7), (None, 3), (100, 99), (100, 99)]
     found = dict(graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
