@@ -306,6 +306,38 @@ def test_similar_links_are_those_of_the_sets(spark):
     assert found == {i: root(i) for i in sets}
 
 
+def test_similar_plan_misses_under_one_in_a_thousand(spark):
+    draw = random.Random(13)
+    pairs = [edited(draw, i, 0.802) for i in range(1000)]
+    alike = [i for i, (a, b) in enumerate(pairs) if len(shingled(a) & shingled(b)) >= 0.8 * len(shingled(a) | shingled(b))]
+    assert len(alike) == 1000
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table(spark, rows), simhash.similar_plan()).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in alike) >= 999
+
+
+def test_set_links_of_dense_lists():
+    draw = np.random.default_rng(6)
+    centres = [draw.integers(0, 2**63, 60, np.uint64) for _ in range(3)]
+    sets = [np.unique(np.concatenate([c[draw.random(60) > draw.choice([0.02, 0.08, 0.2])], draw.integers(0, 2**63, draw.integers(0, 8), np.uint64)])) for c in centres for _ in range(120)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    links = simhash.set_links(sets, 0.8)
+    assert len(links) < len(sets) and {(max(x), min(x)) for x in links} <= set(alike)
+
+    def classes(edges):
+        parent = list(range(len(sets)))
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for x, y in edges:
+            a, b = root(x), root(y)
+            parent[max(a, b)] = min(a, b)
+        return [root(i) for i in range(len(sets))]
+
+    assert classes(links) == classes(alike)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (55, 50), (7, 7), (None, 3), (100, 99), (100, 99)]
     found = dict(graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
