@@ -214,6 +214,21 @@ def gap_sessions(t):
     return closed.where(F.col("end") + 1_799_999_999 < last)
 
 
+@query(
+    "ss01_gap_sessions_all",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
+            g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= 1800000000 THEN 1 ELSE 0 END AS opens
+                  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+            n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id) AS grp FROM g)
+       SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS members FROM n GROUP BY user_id, grp""",
+)
+def gap_sessions_all(t):
+    sessions = st.run_to_end(st.gap_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "sessions")
+    plain = sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+    closed = plain.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "members")
+    return st.with_open_sessions(closed, timed(t), USER, "t", 1_800_000_000, tie=["event_id"])
+
+
 @query(
     "ss02_manifest_on_arrival",
     """WITH x AS (SELECT event_id, round(value * 100)::BIGINT + (event_type = 'error')::INT AS expected FROM events

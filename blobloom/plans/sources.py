@@ -286,6 +286,32 @@ def probe_map_header(t):
     return told.groupBy("reason").agg(F.count("*").alias("docs"))
 
 
+@query(
+    "flt03_probe_map_header_all",
+    """WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (
+         SELECT octet_length(b) AS size,
+                CASE WHEN octet_length(b) >= 10 THEN ('0x' || hex(b[1:4]))::BIGINT END AS pal, CASE WHEN octet_length(b) >= 10 THEN ('0x' || hex(b[5:8]))::BIGINT END AS map,
+                CASE WHEN octet_length(b) >= 10 THEN ('0x' || hex(b[9:9]))::BIGINT END AS psize, CASE WHEN octet_length(b) >= 10 THEN ('0x' || hex(b[10:10]))::BIGINT END AS tiles FROM h)
+       SELECT CASE WHEN size < 10 THEN 'no header' WHEN map <= pal THEN 'map not behind palette'
+                   WHEN psize NOT IN (32, 64, 96, 128) THEN 'invalid palette size'
+                   WHEN pal - 10 < tiles * 32 * 0.1 OR pal - 10 > tiles * 32 THEN 'tile bytes do not fit' ELSE 'further' END AS reason,
+              count(*) AS docs FROM p GROUP BY 1""",
+)
+def probe_map_header_all(t):
+    told = probes.probe_map_header(document_blobs(t), "content", F.lit(0))
+    return told.groupBy("reason").agg(F.count("*").alias("docs"))
+
+
+@query(
+    "flt04_probe_content_valid_all",
+    """WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)
+       SELECT doc_id FROM h WHERE coalesce(list_bool_and(list_transform(range(0, octet_length(b) // 2),
+         lambda i: (('0x' || hex(b[2 * i + 1:2 * i + 2]))::INT & 2047) < 1910)), true)""",
+)
+def probe_content_valid_all(t):
+    return probes.probe_content_valid(document_blobs(t), "doc_id", "content", 1910)
+
+
 @query(
     "flt04_probe_content_valid",
     """WITH h AS (SELECT doc_id, encode(text) AS b FROM documents)

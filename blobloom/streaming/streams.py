@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lookups import verify_manifest
+from ..operators.sequence import gap_groups
 from ..shared import new_folder
 
 
@@ -31,6 +32,18 @@ def gap_sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, de
     )
 
 
+def with_open_sessions(closed: DataFrame, events: DataFrame, keys: Sequence[str], time: str, gap: int, tie: Sequence[str] = ()) -> DataFrame:
+    """Closed sessions (keys, start, end, members), and those still open: of the events behind each key's last closed one.
+
+    Times are numbers here. An event without a time is in no session, as in a stream.
+    """
+    last = closed.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("end").alias("_last"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    behind = events.join(last, same, "left").where(F.col(time).isNotNull() & (F.col("_last").isNull() | (F.col(time) > F.col("_last"))))
+    still = gap_groups(behind.select(*events.columns), keys, time, gap, tie=tie)
+    return closed.unionByName(still.select(*closed.columns))
+
+
 def band_counts(events: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str, bands: dict[str, tuple]) -> DataFrame:
     """Per time window and key: total, and count of the values in each half-open band."""
     zoned = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)

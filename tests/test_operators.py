@@ -696,3 +696,22 @@ def test_many_ranges_need_no_width(spark):
     values = spark.createDataFrame([(v,) for v in range(-5, 850, 3)], "v int")
     want = {v: min((i for i in range(80) if 10 * i <= v <= 10 * i + (500 if i == 3 else 4)), default=0) for v in range(-5, 850, 3)}
     assert {r["v"]: r["id"] for r in range_lookup(values, "v", ranges, "id", "lo", "hi").collect()} == want
+
+
+def test_open_sessions_are_kept(spark):
+    from blobloom.streaming.streams import with_open_sessions
+
+    events = spark.createDataFrame([(1, 0, 1), (1, 5, 2), (1, 50, 3), (1, 55, 4), (1, 90, 5), (2, 99, 6), (None, 98, 7), (2, None, 8)], "k int, t bigint, id int")
+    closed = spark.createDataFrame([(1, 0, 5, 2)], "k int, start bigint, end bigint, members bigint")
+    found = with_open_sessions(closed, events, ["k"], "t", 20, tie=["id"]).collect()
+    assert {tuple(r) for r in found} == {(1, 0, 5, 2), (1, 50, 55, 2), (1, 90, 90, 1), (2, 99, 99, 1), (None, 98, 98, 1)} and len(found) == 5
+
+
+def test_queries_that_keep_short_blobs(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    texts = [(1, ""), (2, None), (3, "a"), (4, "short"), (5, "long enough to have a header")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    told = {r["reason"]: r["docs"] for r in queries()["flt03_probe_map_header_all"](spark, str(tmp_path)).collect()}
+    assert told["no header"] == 4 and sum(told.values()) == 5
+    assert {1, 2, 3} <= {r["doc_id"] for r in queries()["flt04_probe_content_valid_all"](spark, str(tmp_path)).collect()}
