@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, lm, media, packing, simhash, substrings, tokenfiles, toxicity, urls
+from . import bpe, decontaminate, fingerprints, lm, media, packing, simhash, substrings, tokenfiles, toxicity, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,85 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
+
+
+LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+
+# crc32 by its rule: 256 remainders of eight halving steps, then one look-up per byte of UTF-8.
+ORACLES["op11_spelling_variants"] = f"""
+WITH crc AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), told AS (
+    SELECT doc_id, {LOWER("run")} AS run, count(*) AS n FROM runs GROUP BY ALL
+), hashed AS (
+    SELECT run, n, xor(list_reduce(
+        flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+            lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END)),
+        lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]), 4294967295), 4294967295) AS h
+    FROM told, crc WHERE length(run) >= 7
+), counted AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+    FROM hashed GROUP BY 1
+), words AS (
+    SELECT word, n FROM counted WHERE length(word) >= 7 AND n >= 2
+), places AS (
+    SELECT word, n, unnest(range(0, length(word))) AS i FROM words
+), parts AS (
+    SELECT word, n, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM places
+), near AS (
+    SELECT x.word, y.word AS other, y.n FROM parts x JOIN parts y ON x.a = y.a AND x.b = y.b WHERE x.word <> y.word
+    UNION SELECT x.word, y.word, y.n FROM parts x JOIN words y ON y.word = x.a || x.b
+    UNION SELECT y.word, x.word, x.n FROM parts x JOIN words y ON y.word = x.a || x.b
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+        CASE WHEN b.m >= 10 * w.n THEN (SELECT min(other) FROM near x WHERE x.word = w.word AND x.n = b.m) END AS form,
+        CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+), walk AS (
+    WITH RECURSIVE r AS (
+        SELECT word, word AS here, 0 AS steps FROM formed
+        UNION ALL SELECT r.word, f.form, r.steps + 1 FROM r JOIN formed f ON f.word = r.here WHERE f.form IS NOT NULL
+    ) SELECT word, arg_max(here, steps) AS root FROM r GROUP BY word
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN walk USING (word)
+"""
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, folder, "documents"))
+
+
+# The same in SQL: a window is its words in one string.
+ORACLES["op13_fm_index_decontamination"] = rf"""
+WITH d AS (
+    SELECT doc_id, coalesce(regexp_extract_all({LOWER("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM documents
+), b AS (
+    SELECT item_id, regexp_extract_all({LOWER("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), w AS (
+    SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, greatest(len(words) - 8, 2))) AS place FROM b WHERE len(words) > 0
+), windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(words[place : place + size - 1], ' ') AS w FROM w
+), places AS (
+    SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS place FROM d, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size
+), hits AS (
+    SELECT doc_id, place, p.size, item_id FROM (SELECT doc_id, place, size, array_to_string(words[place : place + size - 1], ' ') AS w FROM places) p
+    JOIN windows USING (w)
+), marked AS (
+    SELECT doc_id, count(DISTINCT place + k) AS n_hit FROM hits, range(0, 10) AS steps(k) WHERE k < size GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query
+def op13_fm_index_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=10))
