@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, lm, media, packing, simhash, substrings, tokenfiles, toxicity, urls, variants
+from . import bpe, collocations, decontaminate, fingerprints, lm, media, packing, simhash, substrings, tokenfiles, toxicity, urls, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,6 +154,47 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return variants.spelling_variants(table(spark, folder, "documents"))
 
 
+# Phrases are words joined by one blank; every count is by language.
+ORACLES["op12_phrase_collocations"] = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER("text")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), grams AS (
+    SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS p FROM (
+        SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM split, range(1, 5) AS sizes(m) WHERE len(words) >= m)
+), counts AS MATERIALIZED (
+    SELECT lang, m, p, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang
+), candidates AS MATERIALIZED (
+    SELECT lang, p, m, string_split(p, ' ') AS w, f AS a FROM counts WHERE m > 1 AND f >= 30
+), parts AS MATERIALIZED (
+    SELECT lang, p, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+), cuts AS (
+    SELECT c.lang, c.p, a, k, h.f AS l, t.f AS r, (2000000::HUGEINT * a // (h.f + t.f))::BIGINT AS score
+    FROM parts c JOIN counts h ON h.lang = c.lang AND h.p = c.head JOIN counts t ON t.lang = c.lang AND t.p = c.tail
+), lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_ AS (
+    SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS p, a FROM (
+        SELECT lang, w, a, size, unnest(range(1, m - size + 2)) AS i FROM candidates, range(2, 4) AS sizes(size) WHERE size < m)
+), around AS (
+    SELECT lang, p, max(a) AS more FROM inner_ GROUP BY ALL
+), ranked AS (
+    SELECT lang, p AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank
+    FROM lowest LEFT JOIN around USING (lang, p) WHERE more IS NULL OR 100::HUGEINT * more < 80::HUGEINT * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 # The same in SQL: a window is its words in one string.
 ORACLES["op13_fm_index_decontamination"] = rf"""
 WITH d AS (
