@@ -248,6 +248,8 @@ def sent_filters(texts: DataFrame, how: Phrases) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("codes"), strict=True):
                 _, words = phrases_of(unsqueezed(data.as_py()), how.n)
+                if not len(words):
+                    continue
                 keys, counts = np.unique(how.keys(words), return_counts=True)
                 there, start = np.unique(how.segments(keys), return_index=True)
                 ends = [*start[1:].tolist(), len(keys)]
