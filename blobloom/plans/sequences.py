@@ -196,54 +196,62 @@ def arriving(t):
     return st.read_stream(t.spark, t.folder, "events.parquet", t.events.schema)
 
 
-@query(
-    "ss01_gap_sessions",
-    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events),
+SESSIONS = """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
             g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= 1800000000 THEN 1 ELSE 0 END AS opens
                   FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
-            n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id) AS grp FROM g),
-            s AS (SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS members FROM n GROUP BY user_id, grp)
-       SELECT user_id, start, "end", members FROM s WHERE "end" + 1799999999 < (SELECT max(t) FROM e) // 1000 * 1000 - 86400000000""",
-)
+            n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id) AS grp FROM g)
+       SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS members FROM n GROUP BY user_id, grp"""
+
+
+def session_rows(sessions, *more):
+    return sessions.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "members", *more)
+
+
+@query("ss01_gap_sessions", SESSIONS)
 def gap_sessions(t):
-    sessions = st.run_to_end(st.gap_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "sessions")
-    plain = sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
-    closed = plain.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "members")
-    # What ends before the last watermark is surely closed.
-    last = t.events.agg(F.floor(F.max(micros("ts")) / 1000) * 1000 - 86_400_000_000).scalar()
-    return closed.where(F.col("end") + 1_799_999_999 < last)
+    return session_rows(st.all_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"))
 
 
 @query(
-    "ss01_gap_sessions_all",
+    "ss01_open_sessions",
     """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL),
             g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= 1800000000 THEN 1 ELSE 0 END AS opens
                   FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
             n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id) AS grp FROM g)
-       SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS members FROM n GROUP BY user_id, grp""",
+       SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS members,
+              max(t) + 1799999999 > (SELECT max(t) FROM e) // 1000 * 1000 - 86400000000 AS open FROM n GROUP BY user_id, grp""",
 )
+def open_sessions(t):
+    """All sessions, and whether the stream still holds them as open."""
+    return session_rows(st.all_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "open")
+
+
+@query("ss01_gap_sessions_all", SESSIONS)
 def gap_sessions_all(t):
-    sessions = st.run_to_end(st.gap_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "sessions")
-    plain = sessions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
-    closed = plain.select("user_id", micros("start").alias("start"), micros("end").alias("end"), "members")
+    """The same, with open sessions from the events behind each key's last closed one."""
+    closed = session_rows(st.run_to_end(st.gap_sessions(arriving(t), USER, "ts", "30 minutes", "1 day"), "sessions"))
     return st.with_open_sessions(closed, timed(t), USER, "t", 1_800_000_000, tie=["event_id"])
 
 
 @query(
     "ss02_manifest_on_arrival",
-    """WITH x AS (SELECT event_id, round(value * 100)::BIGINT + (event_type = 'error')::INT AS expected FROM events
-                  UNION ALL SELECT -1 - user_id, min(event_id) FROM events GROUP BY user_id)
-       SELECT x.event_id, expected, round(value * 100)::BIGINT AS actual, CASE WHEN value IS NULL THEN 'missing'
+    """WITH w AS (SELECT max(epoch_us(ts)) // 1000 - 3600000 AS mark FROM events),
+            x AS (SELECT event_id, round(value * 100)::BIGINT + (event_type = 'error')::INT AS expected, NULL AS deadline FROM events
+                  UNION ALL SELECT -1 - user_id, min(event_id), max(epoch_us(ts)) // 1000 + 1800000 FROM events GROUP BY user_id)
+       SELECT x.event_id, expected, round(value * 100)::BIGINT AS actual,
+              CASE WHEN e.event_id IS NULL THEN CASE WHEN deadline < mark THEN 'missing' ELSE 'pending' END
               WHEN expected = round(value * 100)::BIGINT THEN 'ok' ELSE 'mismatch' END AS status
-       FROM x LEFT JOIN events e ON e.event_id = x.event_id""",
+       FROM x CROSS JOIN w LEFT JOIN events e ON e.event_id = x.event_id""",
 )
 def manifest_on_arrival(t):
+    """Every event is awaited until a day after it; for each user one more that never comes, until half an hour after the last."""
     wrong = (F.col("event_type") == "error").cast("int")
-    expected = t.events.select("event_id", (cents("value") + wrong).alias("v")).unionByName(
-        t.events.groupBy("user_id").agg(F.min("event_id").alias("v")).select((-1 - F.col("user_id")).alias("event_id"), "v")
-    )
-    arrivals = arriving(t).select("event_id", cents("value").alias("v"))
-    return st.check_arrivals(arrivals, expected, "event_id", "v", "arrivals")
+    at = F.floor(micros("ts") / 1000)
+    events = t.events.select("event_id", (cents("value") + wrong).alias("v"), (at + 86_400_000).alias("deadline"))
+    never = t.events.groupBy("user_id").agg(F.min("event_id").alias("v"), (F.max(at) + 1_800_000).alias("deadline"))
+    expected = events.unionByName(never.select((-1 - F.col("user_id")).alias("event_id"), "v", "deadline"))
+    arrivals = arriving(t).select("event_id", cents("value").alias("v"), "ts")
+    return st.check_arrivals(arrivals, expected, "event_id", "v", "ts", "deadline", "1 hour", "arrivals")
 
 
 @query(
@@ -256,5 +264,4 @@ def band_counts(t):
     bands = {"low": (0, 50), "rest": (50, 1000)}
     counts = st.band_counts(arriving(t), USER, "ts", "value", "1 day", "1 day", bands)
     out = st.run_updates(counts, "bands", ["window_start", "user_id"])
-    out = out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return out.withColumn("window_start", micros("window_start"))
+    return out.withColumn("window_start", F.unix_micros("window_start"))

@@ -1,29 +1,44 @@
-"""Gap groups, manifest checks and band counts on event streams."""
+"""Gap groups, manifest checks and band counts on event streams.
+
+Times without a zone are taken as UTC, so no result depends on the session's zone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators.lookups import verify_manifest
 from ..operators.sequence import gap_groups
 from ..shared import new_folder
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
     """Files of one name that appear in a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
 
 
+def instant(df: DataFrame, time: str) -> Column:
+    """The column as a time with zone, which watermarks and windows need; one without zone is UTC."""
+    t = F.col(time)
+    if not isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        return t.cast("timestamp")
+    minutes = (F.unix_date(t.cast("date")).cast("bigint") * 24 + F.hour(t)) * 60 + F.minute(t)
+    return F.timestamp_micros(minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint"))
+
+
 def gap_sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str) -> DataFrame:
     """Sessions of events less than `gap` apart: start, end (last event), members.
 
     A session window also joins events exactly `gap` apart, so the gap is made one
-    microsecond shorter. Times become zoned, which watermarks need.
+    microsecond shorter.
     """
-    zoned = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    zoned = events.withColumn(time, instant(events, time)).withWatermark(time, delay)
     window = F.session_window(time, f"{gap} -1 microseconds")
     return (
         zoned.groupBy(*keys, window.alias("_w"))
@@ -32,6 +47,24 @@ def gap_sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, de
     )
 
 
+def all_sessions(events: DataFrame, keys: Sequence[str], time: str, gap: str, delay: str, label: str = "sessions") -> DataFrame:
+    """Closed and open sessions of all that has arrived: keys, start, end, members, open.
+
+    The stream appends sessions that its watermark has closed. Those still open are read from the state
+    that it leaves behind, so no event is read again. Events that come later than `delay` are in neither.
+    """
+    sessions = gap_sessions(events, keys, time, gap, delay)
+    folder, ran = _append(sessions, label)
+    if not ran:
+        return events.sparkSession.createDataFrame([], sessions.schema).withColumn("open", F.lit(False))
+    closed = events.sparkSession.read.schema(sessions.schema).parquet(f"{folder}/rows").withColumn("open", F.lit(False))
+    # The state's value has the keys, the window, and the aggregates in the order in which they were asked for.
+    state = events.sparkSession.read.format("statestore").load(f"{folder}/state")
+    held = [f.name for f in state.schema["value"].dataType.fields][-3:]
+    still = state.select("value.*").select(*keys, *[F.col(h).alias(n) for h, n in zip(held, ("start", "end", "members"), strict=True)])
+    return closed.unionByName(still.withColumn("open", F.lit(True)))
+
+
 def with_open_sessions(closed: DataFrame, events: DataFrame, keys: Sequence[str], time: str, gap: int, tie: Sequence[str] = ()) -> DataFrame:
     """Closed sessions (keys, start, end, members), and those still open: of the events behind each key's last closed one.
 
@@ -45,25 +78,20 @@ def with_open_sessions(closed: DataFrame, events: DataFrame, keys: Sequence[str]
 
 
 def band_counts(events: DataFrame, keys: Sequence[str], time: str, value: str, width: str, delay: str, bands: dict[str, tuple]) -> DataFrame:
-    """Per time window and key: total, and count of the values in each half-open band."""
-    zoned = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    """Per time window and key: total, and count of the values in each half-open band. Days begin at midnight UTC."""
+    zoned = events.withColumn(time, instant(events, time)).withWatermark(time, delay)
     v = F.col(value)
     counts = [F.count(F.when((v >= lo) & (v < hi), 1)).alias(n) for n, (lo, hi) in bands.items()]
     return (
         zoned.groupBy(F.window(time, width).alias("_w"), *keys)
         .agg(F.count("*").alias("total"), *counts)
-        .select(F.col("_w.start").alias("window_start"), *keys, "total", *counts_names(bands))
+        .select(F.col("_w.start").alias("window_start"), *keys, "total", *bands)
     )
 
 
-def counts_names(bands: dict) -> list[str]:
-    return list(bands)
-
-
-def run_to_end(stream: DataFrame, label: str) -> DataFrame:
-    """Append all that is available to a table in the shared folder, and read it back."""
-    spark = stream.sparkSession
-    folder = new_folder(spark, label)
+def _append(stream: DataFrame, label: str) -> tuple[str, bool]:
+    """Append all that is available to a new table; its folder, and whether there was anything."""
+    folder = new_folder(stream.sparkSession, label)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")
@@ -73,11 +101,24 @@ def run_to_end(stream: DataFrame, label: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return folder, has_read(query)
+
+
+def has_read(query) -> bool:
+    """Whether an ended query has found anything in its sources."""
+    last = query.lastProgress
+    return last is not None and any(source["endOffset"] not in (None, "null") for source in last["sources"])
+
+
+def run_to_end(stream: DataFrame, label: str) -> DataFrame:
+    """Append all that is available to a table in the shared folder, and read it back. No file gives no rows."""
+    spark = stream.sparkSession
+    folder, ran = _append(stream, label)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows") if ran else spark.createDataFrame([], stream.schema)
 
 
 def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """Write each batch of updates, and read back the last version of every key."""
+    """Write each batch of updates, and read back the last version of every key. No file gives no rows."""
     spark = stream.sparkSession
     folder = new_folder(spark, label)
 
@@ -92,35 +133,84 @@ def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
+    if not has_read(query):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return last.select(*keys, "_v.*")
 
 
-def check_arrivals(arrivals: DataFrame, expected: DataFrame, name: str, value: str, label: str) -> DataFrame:
-    """Check each arriving batch against a manifest; rows that never came are told at the end.
+class ManifestCheck(StatefulProcessor):
+    """State per name: what is expected of it, until its status is told once.
 
-    Every batch is written under its number, so a repeated batch replaces itself.
+    An expected row comes as initial state and sets a timer. The first arrival in time is compared with it; if
+    the timer is first, the name is missing. Either clears the state, so whatever comes later is silent.
     """
-    spark = arrivals.sparkSession
-    folder = new_folder(spark, label)
-
-    def store(batch: DataFrame, number: int) -> None:
-        wanted = expected.join(batch.select(name), name, "left_semi")
-        checked = verify_manifest(batch, wanted, name, value)
-        checked.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = (
-        arrivals.writeStream.foreachBatch(store)
-        .option("checkpointLocation", f"{folder}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    seen = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")
-    missing = expected.join(seen, name, "left_anti")
-    kind = dict(seen.dtypes)["actual"]
-    return seen.unionByName(
-        missing.select(name, F.col(value).alias("expected"), F.lit(None).cast(kind).alias("actual"), F.lit("missing").alias("status"))
+    def __init__(self, names: T.StructType, value: T.DataType):
+        self.names, self.value = names.fieldNames(), value
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        kinds = [T.StructField("expected", self.value), T.StructField("deadline", T.LongType())]
+        self.awaited = handle.getValueState("awaited", T.StructType(kinds))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.awaited.update((initialState["expected"], initialState["deadline"]))
+        self.handle.registerTimer(initialState["deadline"])
+
+    def told(self, key, expected, actual, status: str) -> Row:
+        return Row(*self.names, "expected", "actual", "status")(*key, expected, actual, status)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda r: (r["at"], r["actual"] is not None, r["actual"]))
+        if self.awaited.exists():
+            expected, deadline = self.awaited.get()
+            if first["at"] > deadline:
+                return  # as late as if the timer had been first
+            self.awaited.clear()
+            self.handle.deleteTimer(deadline)
+            yield self.told(key, expected, first["actual"], "ok" if expected == first["actual"] else "mismatch")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.awaited.exists():
+            expected, _ = self.awaited.get()
+            self.awaited.clear()
+            yield self.told(key, expected, None, "missing")
+
+    def close(self) -> None:
+        pass
+
+
+def check_arrivals(arrivals: DataFrame, expected: DataFrame, name: str, value: str, time: str, deadline: str, delay: str, label: str) -> DataFrame:
+    """One status for each expected row, whatever the number of batches: (name, expected, actual, status).
+
+    arrivals: stream of (name, value, time). expected: (name, value, deadline), one row per name, the
+    deadline in milliseconds since 1970. The first arrival of a name that is not behind its deadline gives ok or
+    mismatch (the earliest of a batch, then the least value). A name is missing when the watermark, the latest time
+    less `delay`, passes its deadline; later and repeated arrivals, those older than the watermark and unexpected
+    ones are silent.
+    What the watermark has not reached is pending; without any file that is all.
+    """
+    spark = arrivals.sparkSession
+    rows = arrivals.select(name, instant(arrivals, time).alias("time"), F.col(value).alias("actual")).withWatermark("time", delay)
+    rows = rows.withColumn("at", F.unix_millis("time"))
+    awaited = expected.select(name, F.col(value).alias("expected"), F.col(deadline).cast("bigint").alias("deadline"))
+    kind = awaited.schema["expected"].dataType
+    names = T.StructType([awaited.schema[name]])
+    schema = T.StructType([*names.fields, T.StructField("expected", kind), T.StructField("actual", rows.schema["actual"].dataType), T.StructField("status", T.StringType())])
+    check = ManifestCheck(names, kind)
+    told = rows.groupBy(name).transformWithState(check, schema, "append", "eventTime", awaited.groupBy(name))
+    # User-defined state with timers needs this store.
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, ROCKS)
+    try:
+        told = run_to_end(told, label)
+    finally:
+        spark.conf.set(setting, before)
+    pending = awaited.join(told, name, "left_anti")
+    return told.unionByName(
+        pending.select(name, "expected", F.lit(None).cast(schema["actual"].dataType).alias("actual"), F.lit("pending").alias("status"))
     )
