@@ -105,9 +105,8 @@ def _append(stream: DataFrame, label: str) -> tuple[str, bool]:
 
 
 def has_read(query) -> bool:
-    """Whether an ended query has found anything in its sources."""
-    last = query.lastProgress
-    return last is not None and any(source["endOffset"] not in (None, "null") for source in last["sources"])
+    """Whether an ended query has run a batch."""
+    return any("addBatch" in progress["durationMs"] for progress in query.recentProgress)
 
 
 def run_to_end(stream: DataFrame, label: str) -> DataFrame:
