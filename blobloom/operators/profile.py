@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.binary import each_position
 from ..shared import written
+from . import inplace
 from .ordered import numbered
 
 
@@ -28,23 +28,23 @@ def top_k(hist: DataFrame, group: Sequence[str], key: Sequence[str], k: int, cou
 
 
 def bytes_of(df: DataFrame, ids: Sequence[str], blob: str) -> DataFrame:
-    """Histogram of the byte values of each blob: ids, byte (as two hex digits), cnt."""
-    rows = each_position(df.select(*ids, blob), "_at", F.lit(1), F.octet_length(blob))
-    single = rows.select(*ids, F.expr(f"substring(`{blob}`, _at, 1)").alias("_byte"))
-    hist = single.groupBy(*ids, "_byte").agg(F.count("*").alias("cnt"))
-    return hist.select(*ids, F.conv(F.hex("_byte"), 16, 10).cast("int").alias("byte"), "cnt")
+    """Histogram of the byte values of each blob: ids, byte, cnt. Blobs with the same ids count together."""
+    return inplace.value_counts(df, ids, blob).groupBy(*ids, "byte").agg(F.sum("cnt").alias("cnt"))
 
 
 def byte_profile(df: DataFrame, ids: Sequence[str], blob: str) -> DataFrame:
-    """Length, distinct values, extremes, mean and population deviation of each blob's bytes."""
-    n, v = F.col("cnt"), F.col("byte").cast("bigint")
-    sums = bytes_of(df, ids, blob).groupBy(*ids).agg(
-        F.sum(n).alias("length"),
-        F.count("*").alias("distinct_values"),
-        F.min("byte").alias("min_value"),
-        F.max("byte").alias("max_value"),
-        F.sum(n * v).alias("_s"),
-        F.sum(n * v * v).alias("_q"),
+    """Length, distinct values, extremes, mean and population deviation of each blob's bytes.
+
+    Bytes are counted where the blob is read; one row of sums per blob is all that moves.
+    """
+    marks = [f"marks{i}" for i in range(4)]
+    sums = inplace.totals(df, ids, blob).groupBy(*ids).agg(
+        F.sum("length").alias("length"),
+        sum(F.bit_count(F.bit_or(m)) for m in marks).cast("bigint").alias("distinct_values"),
+        F.min("low").alias("min_value"),
+        F.max("high").alias("max_value"),
+        F.sum("s").alias("_s"),
+        F.sum("q").alias("_q"),
     )
     mean = F.col("_s") / F.col("length")
     # n * sum of squares - square of the sum is exact in integers.
@@ -65,25 +65,8 @@ def top_bytes(df: DataFrame, ids: Sequence[str], blob: str, k: int = 10) -> Data
 
 
 def adjacent_repeats(df: DataFrame, blob: str, shortest: int = 2, longest: int = 8) -> DataFrame:
-    """How often each piece of 2..8 bytes is directly followed by itself, by content."""
-    rows = each_position(df.select(blob), "_at", F.lit(0), F.octet_length(blob) - 2 * shortest)
-    pieces = [
-        F.expr(
-            f"CASE WHEN _at + {2 * n} <= octet_length(`{blob}`) AND"
-            f" substring(`{blob}`, _at + 1, {n}) = substring(`{blob}`, _at + {n + 1}, {n})"
-            f" THEN substring(`{blob}`, _at + 1, {n}) END"
-        )
-        for n in range(shortest, longest + 1)
-    ]
-    # The test first: few positions repeat at all, and only those are blown up.
-    found = rows.select(F.array(*pieces).alias("_p")).where(F.coalesce(*[F.col("_p")[i] for i in range(len(pieces))]).isNotNull())
-    return (
-        found.select(F.explode("_p").alias("_piece"))
-        .where(F.col("_piece").isNotNull())
-        .groupBy("_piece")
-        .agg(F.count("*").alias("repeats"))
-        .select(F.hex("_piece").alias("pattern"), "repeats")
-    )
+    """How often each piece of 2..8 bytes is directly followed by itself, by content: (pattern, repeats)."""
+    return inplace.adjacent_repeats(df, blob, shortest, longest)
 
 
 def range_counts(df: DataFrame, group: Sequence[str], value: str, bands: dict[str, tuple]) -> DataFrame:
@@ -116,6 +99,14 @@ def bounding_box(df: DataFrame, group: Sequence[str], x: Column, y: Column, widt
     )
 
 
+def moved_to_origin(df: DataFrame, group: Sequence[str], x: str, y: str, box: DataFrame) -> DataFrame:
+    """The rows with x and y counted from the corner of their group's box; groups may be null."""
+    corner = box.select(*[F.col(g).alias(f"_{g}") for g in group], "min_x", "min_y")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group]
+    moved = df.join(corner, same, "left").withColumns({x: F.col(x) - F.col("min_x"), y: F.col(y) - F.col("min_y")})
+    return moved.select(*df.columns)
+
+
 def extents(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Smallest, largest and range of each column, one row per column, with hex limits."""
     both = df.agg(*[f(c).cast("bigint").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])

@@ -105,6 +105,24 @@ def _then(first: Column, second: Column) -> Column:
     return F.struct((first["add"] + second["add"]).alias("add"), low.alias("low"), high.alias("high"))
 
 
+def _composed(steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each BLOCK steps (keys, _at, step) in a row one: as many steps as there are blocks."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "step"))), lambda s: s["step"])
+    blocks = steps.groupBy(*keys, F.floor(F.col("_at") / BLOCK).cast("bigint").alias("_block")).agg(ordered.alias("_steps"))
+    whole = F.aggregate(F.expr("slice(_steps, 2, size(_steps))"), F.col("_steps")[0], _then)
+    return blocks.select(*keys, F.col("_block").alias("_at"), whole.alias("step"))
+
+
+def _levels(blocks: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """Steps of blocks, of blocks of blocks and so on, until one is left per key; all but the first are written."""
+    levels = [blocks]
+    most = blocks.agg(F.max("_at")).first()[0] or 0
+    while most:
+        levels.append(written(_composed(levels[-1], keys), "steps"))
+        most //= BLOCK
+    return levels
+
+
 def bounded_accumulate(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: Column, low: int, high: int, start: int, out: str = "total",
     hot_rows: int | None = None,
@@ -112,34 +130,79 @@ def bounded_accumulate(
     """Sum per key that is cut to [low, high] after every step.
 
     Clamped steps are composable, so each block of 1024 rows becomes one step, each 1024
-    blocks become one step again, until one is left per key.
+    blocks become one step again, until one is left per key. A missing delta is 0.
     """
     keys = list(keys)
     bound = [F.lit(v).cast("bigint").alias(n) for v, n in ((low, "low"), (high, "high"))]
+    delta = F.coalesce(delta.cast("bigint"), F.lit(0).cast("bigint"))
     steps = numbered(df, keys, order, "_rn", hot_rows=hot_rows).select(
-        *keys, (F.col("_rn") - 1).alias("_rn"), F.struct(delta.cast("bigint").alias("add"), *bound).alias("step")
+        *keys, (F.col("_rn") - 1).alias("_at"), F.struct(delta.alias("add"), *bound).alias("step")
     )
-    # Four levels hold 1024^4 rows per key; from the second on the data is tiny.
-    for _ in range(4):
-        block = F.floor(F.col("_rn") / BLOCK).cast("bigint")
-        ordered = F.transform(
-            F.array_sort(F.collect_list(F.struct("_rn", "step"))), lambda s: s["step"]
-        )
-        steps = (
-            steps.groupBy(*keys, block.alias("_block"))
-            .agg(ordered.alias("_steps"))
-            .select(
-                *keys,
-                F.col("_block").alias("_rn"),
-                F.aggregate(F.expr("slice(_steps, 2, size(_steps))"), F.col("_steps")[0], _then).alias("step"),
-            )
-        )
     step = F.col("step")
-    return steps.select(
+    return _levels(written(_composed(steps, keys), "steps"), keys)[-1].select(
         *keys, F.least(step["high"], F.greatest(step["low"], F.lit(start) + step["add"])).alias(out)
     )
 
 
+def _clamped(value: Column, step: Column) -> Column:
+    return F.least(step["high"], F.greatest(step["low"], value + step["add"]))
+
+
+def _replayed(items: Column, start: Column, step, after: bool) -> Column:
+    """The running value of each item of an array, behind its step (or in front of it)."""
+
+    def add(state, item):
+        value = _clamped(state["value"], step(item))
+        return F.struct(value.alias("value"), F.array_append(state["told"], value if after else state["value"]).alias("told"))
+
+    begin = F.struct(start.alias("value"), F.array().cast("array<bigint>").alias("told"))
+    return F.aggregate(items, begin, add, lambda state: state["told"])
+
+
+def bounded_running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], delta: Column, low: int, high: int, start: int, out: str = "total",
+    is_end: Column | None = None, hot_rows: int | None = None,
+) -> DataFrame:
+    """The rows with their key's sum so far, cut to [low, high] after every step; a missing delta is 0.
+
+    With `is_end` a key stops in front of its first such row: that row and those behind it drop out. Rows go into
+    blocks of 1024, and a block's steps make one step. The steps of blocks are composed level by level up to
+    one per key; down again, each level's starts follow from those above; in the end every block is replayed
+    from its start. So a key of any length is spread over its blocks.
+    """
+    keys = list(keys)
+    columns = df.columns
+    sums = {"_rn": F.lit(1).cast("bigint")}
+    if is_end is not None:
+        sums["_ends"] = F.coalesce(is_end, F.lit(False)).cast("bigint")
+    rows = scan(df, keys, order, Step(sums=sums), hot_rows=hot_rows)
+    if is_end is not None:
+        rows = rows.where(F.col("_ends") == 0)
+    bound = [F.lit(v).cast("bigint").alias(n) for v, n in ((low, "low"), (high, "high"))]
+    step = F.struct(F.coalesce(delta.cast("bigint"), F.lit(0).cast("bigint")).alias("add"), *bound)
+    # One struct for the keys, as structs with NULL inside are equal.
+    rows = rows.select(F.struct(F.lit(0), *keys).alias("_key"), (F.col("_rn") - 1).alias("_at"), step.alias("step"), F.struct(*columns).alias("row"))
+    held = F.array_sort(F.collect_list(F.struct("_at", "step", "row")))
+    blocks = rows.groupBy("_key", F.floor(F.col("_at") / BLOCK).cast("bigint").alias("_block")).agg(held.alias("_rows"))
+    own = F.transform("_rows", lambda r: r["step"])
+    whole = F.aggregate(F.slice(own, F.lit(2), F.size("_rows")), F.col("_rows")[0]["step"], _then)
+    blocks = written(blocks.select("_key", F.col("_block").alias("_at"), "_rows", whole.alias("step")), "blocks")
+
+    levels = _levels(blocks.select("_key", "_at", "step"), ["_key"])
+    starts = levels[-1].select("_key", "_at", F.lit(start).cast("bigint").alias("start"))
+    for level in reversed(levels[:-1]):
+        group = level.groupBy("_key", F.floor(F.col("_at") / BLOCK).cast("bigint").alias("_above")).agg(F.array_sort(F.collect_list(F.struct("_at", "step"))).alias("_steps"))
+        above = starts.select("_key", F.col("_at").alias("_above"), "start")
+        told = _replayed(F.col("_steps"), F.col("start"), lambda s: s["step"], after=False)
+        pairs = F.arrays_zip(F.transform("_steps", lambda s: s["_at"]).alias("_at"), told.alias("start"))
+        starts = written(group.join(above, ["_key", "_above"]).select("_key", F.explode(pairs).alias("p")).select("_key", "p._at", "p.start"), "starts")
+
+    told = _replayed(F.col("_rows"), F.col("start"), lambda r: r["step"], after=True)
+    pairs = F.arrays_zip(F.transform("_rows", lambda r: r["row"]).alias("row"), told.alias("value"))
+    done = blocks.join(starts, ["_key", "_at"]).select(F.explode(pairs).alias("p"))
+    return done.select(*[F.col("p.row")[c].alias(c) for c in columns], F.col("p.value").alias(out))
+
+
 def dictionary_encode(df: DataFrame, key: Sequence[str], order: str, out: str = "code") -> DataFrame:
     """Distinct keys with dense codes from 0 in the order of their first appearance."""
     # Written once, because both the cut points and the numbering read it.

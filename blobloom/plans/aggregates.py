@@ -105,6 +105,18 @@ def bounding_box(t):
     return pr.bounding_box(lines, ["o_orderkey"], F.col("l_quantity").cast("bigint"), F.col("l_linenumber"), width, height)
 
 
+@query(
+    "ag06_moved_to_origin",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS x, l_linenumber::BIGINT + l_suppkey % 50 AS y FROM lineitem)
+       SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, x - min(x) OVER w AS x, y - min(y) OVER w AS y FROM s WINDOW w AS (PARTITION BY l_orderkey)""",
+)
+def moved_to_origin(t):
+    x, y = F.col("l_quantity").cast("bigint").alias("x"), (F.col("l_linenumber") + F.col("l_suppkey") % 50).alias("y")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", x, y)
+    box = pr.bounding_box(lines, ["l_orderkey"], F.col("x"), F.col("y"), F.lit(1), F.lit(1))
+    return pr.moved_to_origin(lines, ["l_orderkey"], "x", "y", box)
+
+
 @query(
     "ag07_extents",
     """WITH e AS (SELECT 'o_orderkey' AS "column", min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import inplace
 from ..operators import sequence as sq
 from ..operators.ordered import Step, scan
 from ..streaming import streams as st
@@ -95,6 +96,22 @@ def bounded_accumulate(t):
     return sq.bounded_accumulate(t.events, USER, ORDER, delta, -8192, 8191, 8192)
 
 
+RUNNING = """WITH l AS (SELECT user_id, list(round(value * 100)::BIGINT % 2001 - 1000 ORDER BY event_id) AS d, list(event_id ORDER BY event_id) AS e,
+                min(event_id) FILTER (event_id % 29 = 0) AS stop FROM events GROUP BY 1),
+            i AS (SELECT *, unnest(range(1, len(d) + 1)) AS i FROM l)
+       SELECT user_id, e[i] AS event_id, list_reduce(d[1:i], lambda a, x: least(8191, greatest(-8192, a + x)), 8192::BIGINT)::BIGINT AS total
+       FROM i WHERE stop IS NULL OR e[i] < stop"""
+
+
+def running(t, hot_rows=None):
+    rows = t.events.select("user_id", "event_id", (cents("value") % 2001 - 1000).alias("d"))
+    return sq.bounded_running(rows, USER, ORDER, F.col("d"), -8192, 8191, 8192, is_end=F.col("event_id") % 29 == 0, hot_rows=hot_rows).drop("d")
+
+
+query("wn06_bounded_running", RUNNING)(running)
+query("wn06_bounded_running_hot", RUNNING)(lambda t: running(t, hot_rows=40))
+
+
 @query(
     "wn07_dictionary_encode",
     """WITH f AS (SELECT p_name, p_brand, min(p_partkey) AS first_at, count(*) AS uses FROM part GROUP BY 1, 2)
@@ -133,6 +150,27 @@ def run_expand(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", items.alias("items"))
 
 
+@query(
+    "wn10_command_streams",
+    """WITH RECURSIVE d AS (SELECT doc_id, encode(replace(text, '.', chr(0))) AS b FROM documents),
+            r AS (SELECT doc_id, 0 AS step, 0::BIGINT AS pos, 0::BIGINT AS made, '' AS part, CASE WHEN octet_length(b) = 0 THEN 'end' END AS status FROM d
+                  UNION ALL
+                  SELECT doc_id, step + 1, CASE WHEN code = 0 THEN pos + 1 ELSE least(pos + size, n) END, made + length(h) // 2, h,
+                         CASE WHEN made + length(h) // 2 >= 4096 THEN 'length' WHEN code = 0 THEN 'stop' WHEN pos + size > n THEN 'cut' WHEN pos + size = n THEN 'end' END
+                  FROM (SELECT *, left(CASE WHEN code = 0 THEN '' WHEN code >= 128 THEN hex(b[pos + 2:least(pos + size, n)])
+                                            ELSE repeat(hex(b[pos + 2:pos + 2]), code) END, 2 * (4096 - made)::INT) AS h
+                        FROM (SELECT r.*, b, octet_length(b) AS n, code, CASE WHEN code >= 128 THEN 257 - code ELSE 2 END AS size
+                              FROM (SELECT r.*, b, ('0x' || hex(b[pos + 1:pos + 1]))::INT AS code FROM r JOIN d USING (doc_id) WHERE status IS NULL) r)))
+       SELECT doc_id, max(made)::BIGINT AS length, max(pos)::BIGINT AS used, max(status) AS status, md5(unhex(string_agg(part, '' ORDER BY step))) AS digest
+       FROM r GROUP BY doc_id""",
+)
+def command_streams(t):
+    """Texts read as commands: letters are runs, bytes beyond ASCII literals, full stops the stop code."""
+    blobs = t.documents.select("doc_id", F.encode(F.replace(F.col("text"), F.lit("."), F.lit("\0")), "UTF-8").alias("b"))
+    told = inplace.expand_commands(blobs, ["doc_id"], "b", 4096)
+    return told.select("doc_id", F.octet_length("data").cast("bigint").alias("length"), "used", "status", F.md5("data").alias("digest"))
+
+
 @query(
     "wn11_stride_records",
     """WITH d AS (SELECT doc_id, encode(text) AS b FROM documents),
@@ -154,6 +192,19 @@ def scan_nonoverlapping(t):
     return sq.scan_nonoverlapping(t.documents.select("doc_id", "text"), "text", "haha")
 
 
+@query(
+    "wn12_scan_bytes",
+    """WITH RECURSIVE d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+            s AS (SELECT doc_id, list_filter(range(0, length(h) // 2 - 3), lambda i: substr(h, 2 * i + 1, 8) = '68616861') AS hits FROM d WHERE contains(h, '68616861')),
+            r AS (SELECT doc_id, hits, 0 AS match, hits[1] AS position FROM s WHERE len(hits) > 0
+                  UNION ALL SELECT doc_id, hits, match + 1, list_filter(hits, lambda i: i >= position + 4)[1] FROM r
+                  WHERE len(list_filter(hits, lambda i: i >= position + 4)) > 0)
+       SELECT doc_id, match::BIGINT AS match, position FROM r""",
+)
+def scan_bytes(t):
+    return inplace.scan_nonoverlapping(document_blobs(t), ["doc_id"], "content", b"haha")
+
+
 @query(
     "wn00_row_numbers",
     """SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
