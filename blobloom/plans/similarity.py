@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import clusters as cl
 from ..operators import lookups as lk
 from ..operators import profile as pr
 from ..operators import similar as sm
@@ -19,9 +20,51 @@ def centres(t):
     return sm.class_centroids(t.embeddings, "label", "embedding")
 
 
-@query("ml01_kmeans")
+def kmeans_sql(points: str, k: int, rounds: int, tolerance: float, seed: int, farthest: bool) -> str:
+    """Seeding and all rounds, one after the other, for points (id, v DOUBLE[], w); ends with fit (idx, c)."""
+
+    def u(turn: int) -> str:
+        return f"(('0x' || substr(md5('{seed}:{turn}:' || id::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+    parts = [f"points AS MATERIALIZED ({points})"]
+    parts.append(f"seed1 AS MATERIALIZED (SELECT 0 AS idx, v AS c FROM points ORDER BY -ln({u(0)}) / w, id LIMIT 1)")
+    for turn in range(1, k):
+        key = "-(d * w)" if farthest else f"-ln({u(turn)}) / (d * d * w)"
+        parts.append(
+            f"seed{turn + 1} AS MATERIALIZED (SELECT * FROM seed{turn} UNION ALL (SELECT {turn}, v FROM"
+            f" (SELECT id, v, w, min(list_distance(v, c)) AS d FROM points, seed{turn} GROUP BY ALL) WHERE d > 0 ORDER BY {key}, id LIMIT 1))"
+        )
+    parts.append(f"round0 AS MATERIALIZED (SELECT idx, c, false AS done FROM seed{k})")
+    for turn in range(1, rounds + 1):
+        before = f"round{turn - 1}"
+        parts += [
+            f"own{turn} AS MATERIALIZED (SELECT id, v, w, arg_min(idx, (list_distance(v, c), idx)) AS idx FROM points, {before} GROUP BY ALL)",
+            f"cell{turn} AS (SELECT idx, i, sum(x * w) / sum(w) AS m FROM (SELECT idx, w, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM own{turn}) GROUP BY 1, 2)",
+            f"mean{turn} AS MATERIALIZED (SELECT idx, list(m ORDER BY i) AS m FROM cell{turn} GROUP BY 1)",
+            f"round{turn} AS MATERIALIZED (SELECT idx, CASE WHEN done OR m IS NULL THEN c ELSE m END AS c,"
+            f" done OR max(coalesce(list_distance(c, m), 0)) OVER () <= {tolerance} AS done FROM {before} LEFT JOIN mean{turn} USING (idx))",
+        ]
+    parts.append(f"fit AS MATERIALIZED (SELECT idx, c FROM round{rounds})")
+    return "WITH " + ", ".join(parts)
+
+
+POINTS = "SELECT vec_id AS id, embedding::DOUBLE[] AS v, 1.0::DOUBLE AS w FROM embeddings"
+LENGTHS = f"SELECT size::BIGINT AS id, [size::DOUBLE] AS v, sum(cnt)::DOUBLE AS w FROM (WITH {HIST} SELECT length(token) AS size, cnt FROM h) GROUP BY size"
+
+
+@query(
+    "ml01_kmeans",
+    kmeans_sql(POINTS, 4, 10, 0.01, 7, False) + " SELECT id AS vec_id, arg_min(idx, (list_distance(v, c), idx))::BIGINT AS cluster FROM points, fit GROUP BY id, v",
+)
 def kmeans(t):
-    return sm.kmeans(t.embeddings, "embedding", 4, seed=7, tolerance=0.01).select("vec_id", "cluster")
+    return cl.spread_kmeans(t.embeddings, "vec_id", "embedding", 4, seed=7, tolerance=0.01).select("vec_id", "cluster")
+
+
+@query("ml01_kmeans_centroids", kmeans_sql(POINTS, 9, 10, 0.001, 1, False) + f" SELECT idx::BIGINT AS idx, unnest(range(0, 64)) AS place, {sql_round('unnest(c)')} AS value FROM fit")
+def kmeans_centroids(t):
+    """More seeds than distances are kept for at once."""
+    found = cl.fit(t.embeddings, "vec_id", "embedding", 9, seed=1, rounds=10, tolerance=0.001)
+    return cl.centroids(found, t.spark).select("idx", F.posexplode("centre").alias("place", "value")).withColumn("value", rounded("value"))
 
 
 @query(
@@ -35,11 +78,17 @@ def lloyd_step(t):
     return step.select("idx", "points", F.posexplode("centre").alias("place", "value")).withColumn("value", rounded("value"))
 
 
-@query("ml02_kmeans_weighted")
+def length_counts(t):
+    words = token_counts(t).withColumn("size", F.length("token").cast("bigint"))
+    return words.groupBy("size").agg(F.sum("cnt").alias("cnt")).withColumn("v", F.array(F.col("size").cast("double")))
+
+
+@query(
+    "ml02_kmeans_weighted",
+    kmeans_sql(LENGTHS, 4, 10, 1.0, 7, True) + " SELECT id AS size, w::BIGINT AS cnt, arg_min(idx, (list_distance(v, c), idx))::BIGINT AS cluster FROM points, fit GROUP BY id, v, w",
+)
 def kmeans_weighted(t):
-    words = token_counts(t).withColumn("size", F.length("token").cast("double"))
-    hist = words.groupBy("size").agg(F.sum("cnt").alias("cnt"))
-    return sm.kmeans_weighted(hist.withColumn("v", F.array("size")), "v", 4, seed=7).select("size", "cnt", "cluster")
+    return cl.weighted_kmeans(length_counts(t), "size", "v", 4, seed=7).select("size", "cnt", "cluster")
 
 
 @query("ml03_nearest", f"""WITH {CENTRES} SELECT vec_id, idx::BIGINT AS nearest, {sql_round('d')} AS distance FROM ranked WHERE r = 1""")

@@ -7,7 +7,7 @@ from ..operators import probes
 from ..shared import new_folder
 from ..sources import blobs as bl
 from ..sources import tables as tb
-from .registry import Tables, cents, query
+from .registry import ORACLES, Tables, cents, query
 
 
 def document_blobs(t: Tables, *more: str, min_length: int = 0):
@@ -25,6 +25,36 @@ def read_blobs(t):
     return document_blobs(t, min_length=6).select("doc_id", F.octet_length("content").alias("length"))
 
 
+def nation_files(t) -> str:
+    """Customers as real files: a directory per nation with one file of lines."""
+    folder = new_folder(t.spark, "customers")
+    line = F.format_string("%d\t%s\t%s", F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"))
+    bl.write_lines(t.customer, "c_nationkey", ["c_custkey"], line, folder)
+    return folder
+
+
+def nation_of(path: str):
+    return F.regexp_extract(path, "c_nationkey=([0-9]+)/", 1).cast("bigint").alias("nation")
+
+
+FILES = """f AS (SELECT c_nationkey::BIGINT AS nation, string_agg(c_custkey || chr(9) || c_name || chr(9) || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS content
+                 FROM customer GROUP BY 1)"""
+
+
+@query("src01_read_files", f"WITH {FILES} SELECT nation, octet_length(encode(content))::BIGINT AS length, md5(content) AS digest FROM f WHERE octet_length(encode(content)) >= 200")
+def read_files(t):
+    """Files of at least 200 bytes, whole, by the binary source."""
+    files = bl.read_blobs(t.spark, nation_files(t), "*.txt", min_length=200)
+    return files.select(nation_of("path"), "length", F.md5("content").alias("digest"))
+
+
+@query("src02_list_files", f"WITH {FILES} SELECT nation, octet_length(encode(content))::BIGINT AS length FROM f")
+def list_files(t):
+    """The files' own metadata, by the rule on their extension."""
+    files = bl.filter_listing(bl.list_files(t.spark, nation_files(t)), "path", "extension", ".txt")
+    return files.select(nation_of("path"), "length")
+
+
 @query(
     "src02_filter_listing",
     """WITH n AS (SELECT page_id, list_last(string_split(url, '/')) AS name FROM pages)
@@ -164,6 +194,39 @@ def snapshot_manifest(t):
     return bl.snapshot_digests(document_blobs(t), "doc_id", "content")
 
 
+@query(
+    "src09_written_assets",
+    """SELECT doc_id, name, folder, octet_length(encode(coalesce(text, ''))[a + 1:b])::BIGINT AS length, md5(encode(coalesce(text, ''))[a + 1:b]) AS digest
+       FROM documents, (VALUES ('head', 'a', 0, 64), ('middle', 'a', 32, 160), ('late', 'c', 500, 900)) m(name, folder, a, b)""",
+)
+def written_assets(t):
+    """Slices, written to a directory per folder and read back."""
+    manifest = [("head", "a", 0, 64), ("middle", "a", 32, 160), ("late", "c", 500, 900)]
+    assets = bl.slice_by_manifest(document_blobs(t), "content", manifest).select("doc_id", "name", "folder", "bytes")
+    path = new_folder(t.spark, "assets")
+    bl.write_assets(assets, "folder", path)
+    back = bl.read_assets(t.spark, assets.schema, "folder", path)
+    return back.select("doc_id", "name", "folder", F.octet_length("bytes").alias("length"), F.md5("bytes").alias("digest"))
+
+
+@query(
+    "src10_snapshot_once",
+    """WITH a AS (SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents),
+            b AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN md5(md5) ELSE md5 END AS md5 FROM a WHERE doc_id % 7 > 0)
+       SELECT 1::BIGINT AS run, doc_id, md5 AS expected, md5 AS actual, 'written' AS status FROM a
+       UNION ALL SELECT 2, a.doc_id, a.md5, b.md5, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.md5 = b.md5 THEN 'ok' ELSE 'mismatch' END
+       FROM a LEFT JOIN b ON a.doc_id = b.doc_id""",
+)
+def snapshot_once(t):
+    """The first run writes the snapshot; in the second, files have gone and others have changed."""
+    path = new_folder(t.spark, "snapshot")
+    first = bl.snapshot_digests(document_blobs(t), "doc_id", "content")
+    changed = F.when(F.col("doc_id") % 10 == 0, F.md5(F.col("md5").cast("binary"))).otherwise(F.col("md5"))
+    second = first.where(F.col("doc_id") % 7 > 0).withColumn("md5", changed)
+    told = [bl.snapshot_once(manifest, "doc_id", "md5", path).select(F.lit(run).alias("run"), "*") for run, manifest in enumerate((first, second), 1)]
+    return told[0].unionByName(told[1])
+
+
 @query(
     "src11_report_lines",
     """SELECT DISTINCT s_nationkey::BIGINT AS s_nationkey, 0::BIGINT AS line_no, '| Supplier | Name |' AS line FROM supplier
@@ -230,11 +293,12 @@ def probe_layout(t):
     """SELECT doc_id, 17::BIGINT AS at, CASE WHEN doc_id % 2 = 1 THEN 'packed' ELSE 'plain' END AS kind,
               10 + 32 * tiles AS palette_at, 42 + 32 * tiles AS map_at, 2::BIGINT AS width, 3::BIGINT AS height,
               17 + 42 + 32 * tiles + 16 + CASE WHEN doc_id % 2 = 1 THEN 4 ELSE 0 END AS "end"
-       FROM (SELECT doc_id, (1 + n_chars % 3)::BIGINT AS tiles FROM documents WHERE octet_length(encode(text)) >= 200)""",
+       FROM (SELECT doc_id, (1 + n_chars % 3)::BIGINT AS tiles FROM documents)""",
 )
 def find_map_layouts(t):
-    # Each text lends its bytes to a map file behind 17 bytes of something else.
-    docs = document_blobs(t, "n_chars", min_length=200).withColumn("tiles", 1 + F.col("n_chars") % 3)
+    # Each text, filled up to 200 bytes, lends its bytes to a map file behind 17 bytes of something else.
+    docs = document_blobs(t, "n_chars").withColumn("tiles", 1 + F.col("n_chars") % 3)
+    docs = docs.withColumn("content", F.concat("content", F.lit(b"." * 200)))
 
     def number(value, digits: int):
         return F.unhex(F.lpad(F.hex(value), digits, "0"))
@@ -271,21 +335,6 @@ def probe_with_reason(t):
     return told.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("docs"))
 
 
-@query(
-    "flt03_probe_map_header",
-    """WITH h AS (SELECT doc_id, encode(text) AS b FROM documents), p AS (
-         SELECT octet_length(b) AS size, ('0x' || hex(b[1:4]))::BIGINT AS pal, ('0x' || hex(b[5:8]))::BIGINT AS map,
-                ('0x' || hex(b[9:9]))::BIGINT AS psize, ('0x' || hex(b[10:10]))::BIGINT AS tiles FROM h
-         WHERE octet_length(b) >= 10)
-       SELECT CASE WHEN map <= pal THEN 'map not behind palette' WHEN psize NOT IN (32, 64, 96, 128) THEN 'invalid palette size'
-                   WHEN pal - 10 < tiles * 32 * 0.1 OR pal - 10 > tiles * 32 THEN 'tile bytes do not fit' ELSE 'further' END AS reason,
-              count(*) AS docs FROM p GROUP BY 1""",
-)
-def probe_map_header(t):
-    told = probes.probe_map_header(document_blobs(t, min_length=10), "content", F.lit(0))
-    return told.groupBy("reason").agg(F.count("*").alias("docs"))
-
-
 @query(
     "flt03_probe_map_header_all",
     """WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), p AS (
@@ -297,29 +346,27 @@ def probe_map_header(t):
                    WHEN pal - 10 < tiles * 32 * 0.1 OR pal - 10 > tiles * 32 THEN 'tile bytes do not fit' ELSE 'further' END AS reason,
               count(*) AS docs FROM p GROUP BY 1""",
 )
-def probe_map_header_all(t):
+def probe_map_header(t):
+    """Every blob, those without a header too."""
     told = probes.probe_map_header(document_blobs(t), "content", F.lit(0))
     return told.groupBy("reason").agg(F.count("*").alias("docs"))
 
 
+query("flt03_probe_map_header", ORACLES["flt03_probe_map_header_all"])(probe_map_header)
+
+
 @query(
     "flt04_probe_content_valid_all",
     """WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)
        SELECT doc_id FROM h WHERE coalesce(list_bool_and(list_transform(range(0, octet_length(b) // 2),
          lambda i: (('0x' || hex(b[2 * i + 1:2 * i + 2]))::INT & 2047) < 1910)), true)""",
 )
-def probe_content_valid_all(t):
+def probe_content_valid(t):
+    """Every blob; one of fewer than two bytes has no word that is wrong."""
     return probes.probe_content_valid(document_blobs(t), "doc_id", "content", 1910)
 
 
-@query(
-    "flt04_probe_content_valid",
-    """WITH h AS (SELECT doc_id, encode(text) AS b FROM documents)
-       SELECT doc_id FROM h WHERE octet_length(b) >= 2 AND list_bool_and(list_transform(range(0, octet_length(b) // 2),
-         lambda i: (('0x' || hex(b[2 * i + 1:2 * i + 2]))::INT & 2047) < 1910))""",
-)
-def probe_content_valid(t):
-    return probes.probe_content_valid(document_blobs(t, min_length=2), "doc_id", "content", 1910)
+query("flt04_probe_content_valid", ORACLES["flt04_probe_content_valid_all"])(probe_content_valid)
 
 
 @query(

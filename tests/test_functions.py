@@ -177,10 +177,10 @@ def test_text(spark):
 
 
 PAGE = """<!-- Start --><ul>
-  <li class="mb-1">
-    <span class="97.00 box highest">97</span> Deking
-  </li><li><span class="box">88</span> Hand  Eye</li><li><span class="box">90</span> Deking</li></ul><!-- End -->
-<h4 class="t">Wheels</h4><h4>Heat  Seeker</h4><h4>Wheels</h4>"""
+  <li id='one'>
+    <span lang='x'>12</span> Apples
+  </li><li><span>7</span> Sour  Plums</li><li><span>31</span> Apples</li></ul><!-- End -->
+<h4 id='k'>Ripe</h4><h4>Hand  Picked</h4><h4>Ripe</h4>"""
 
 
 def test_page(spark):
@@ -188,5 +188,5 @@ def test_page(spark):
     pattern = r"<li[^>]*>\s*<span[^>]*>([^<]*)</span>\s([^<]*)</li>"
     inner = tx.slice_between("html", "<!-- Start -->", "<!-- End -->")
     got = one(df, tx.extract_pairs(inner, pattern, 2, 1), tx.ability_flags("html", "h4"))
-    assert got[0] == {"Deking": "90", "Hand Eye": "88"}
-    assert got[1] == {"Wheels": True, "Heat Seeker": True}
+    assert got[0] == {"Apples": "31", "Sour Plums": "7"}
+    assert got[1] == {"Ripe": True, "Hand Picked": True}
