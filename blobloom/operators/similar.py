@@ -44,15 +44,36 @@ def _passed(position: Column, cuts: Sequence[int]) -> Column:
     return sum((F.when(position >= c, 1).otherwise(0) for c in cuts), F.lit(0))
 
 
-def split_scores(df: DataFrame, position: Column, key: Sequence[str], cuts: Sequence[int], measure: str) -> DataFrame:
+def _line_below(position: Column, lines: Sequence[int]) -> Column:
+    """The last of the ascending lines that is at or below the position; NULL in front of the first."""
+    return F.greatest(*[F.when(position >= line, F.lit(line)) for line in lines], F.lit(None).cast("int"))
+
+
+def grid_counts(df: DataFrame, x: Column, y: Column, key: Sequence[str], x_lines: Sequence[int], y_lines: Sequence[int]) -> DataFrame:
+    """(gx, gy, key, cells): rows per key and cell of a grid, which is named by its lower lines; written.
+
+    Every search for a cut along one of the lines gives the same on this table (with x, y = gx, gy and the
+    weight `cells`) as on the rows, which are read once. Rows in front of the first lines are left out.
+    """
+    gx, gy = _line_below(x, sorted(x_lines)).alias("gx"), _line_below(y, sorted(y_lines)).alias("gy")
+    counts = df.groupBy(gx, gy, *key).agg(F.count("*").alias("cells"))
+    return written(counts.where("gx is not null and gy is not null"), "grid")
+
+
+def _rows(weight: str | None) -> Column:
+    return F.count("*") if weight is None else F.sum(weight)
+
+
+def split_scores(df: DataFrame, position: Column, key: Sequence[str], cuts: Sequence[int], measure: str, weight: str | None = None) -> DataFrame:
     """Imbalance of the two sides for every candidate cut: (cut, imbalance).
 
     The rows are counted once per (stretch between cuts, key). The left side of every cut is
-    then a sum of stretches; nothing is counted again per candidate.
+    then a sum of stretches; nothing is counted again per candidate. With a weight a row
+    stands for so many.
     """
     cuts = sorted(cuts)
     measure = "count" if measure == "area" else measure
-    hist = df.groupBy(_passed(position, cuts).alias("_b"), *key).agg(F.count("*").alias("cnt"))
+    hist = df.groupBy(_passed(position, cuts).alias("_b"), *key).agg(_rows(weight).alias("cnt"))
     left = [F.sum(F.when(F.col("_b") <= i, F.col("cnt")).otherwise(0)).alias(f"_l{i}") for i in range(len(cuts))]
     per_key = hist.groupBy(*key).agg(F.sum("cnt").alias("_all"), *left)
     sides = [
@@ -72,8 +93,22 @@ def first_minimum(scores: DataFrame, order: Sequence[str]) -> DataFrame:
     return usable.agg(best.alias("_best")).select(*[f"_best.{c}" for c in order], "_best.imbalance")
 
 
-def best_split(df: DataFrame, position: Column, key: Sequence[str], cuts: Sequence[int], measure: str) -> DataFrame:
-    return first_minimum(split_scores(df, position, key, cuts, measure), ["cut"])
+def best_split(df: DataFrame, position: Column, key: Sequence[str], cuts: Sequence[int], measure: str, weight: str | None = None) -> DataFrame:
+    return first_minimum(split_scores(df, position, key, cuts, measure, weight), ["cut"])
+
+
+def best_splits(df: DataFrame, x: Column, y: Column, key: Sequence[str], searches: Sequence[tuple[str, str, Sequence[int]]], measure: str) -> DataFrame:
+    """(axis, cut, imbalance) of several searches (name, "x" or "y", cuts), after one pass over the rows.
+
+    A search without a usable cut has no row. Rows without a position are left out, as are negative ones.
+    """
+    lines = {which: sorted({0, *(c for _, w, cuts in searches if w == which for c in cuts)}) for which in ("x", "y")}
+    grid = grid_counts(df, x, y, key, lines["x"], lines["y"])
+    out = None
+    for name, which, cuts in searches:
+        best = best_split(grid, F.col(f"g{which}"), key, cuts, measure, "cells").select(F.lit(name).alias("axis"), "cut", "imbalance")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def quadrant_scores(
@@ -144,14 +179,17 @@ def two_way_layouts(width: int, height: int, h: int, v: int) -> list:
 def three_way_layouts(df: DataFrame, x: Column, y: Column, key: Sequence[str], width: int, height: int, measure: str) -> list:
     """The four ways to cut an area in two and one half in two again.
 
-    Each cut is a search of its own, and only the found number comes back.
+    All six cuts lie on the same candidates (or in the middle, if there is no usable one), so the rows are
+    counted once, on the grid of these, and each search is one over the counts; only the found numbers come back.
     """
+    lines = [sorted({0, length, length // 2, *split_points(length)}) for length in (width, height)]
+    grid = grid_counts(df, x, y, key, *lines)
 
     def cut(vertical: bool, x0: int, y0: int, x1: int, y1: int) -> int:
-        inside = df.where((x >= x0) & (x < x1) & (y >= y0) & (y < y1))
+        inside = grid.where(F.col("gx").between(x0, x1 - 1) & F.col("gy").between(y0, y1 - 1))
         start, length = (x0, x1 - x0) if vertical else (y0, y1 - y0)
         points = split_points(length, start=start)
-        found = best_split(inside, x if vertical else y, key, points, measure).first()
+        found = best_split(inside, F.col("gx" if vertical else "gy"), key, points, measure, "cells").first()
         return found["cut"] if found["cut"] is not None else start + length // 2
 
     h, v = cut(False, 0, 0, width, height), cut(True, 0, 0, width, height)

@@ -353,14 +353,9 @@ def _nine_sql(axis: str, position: str, first: int, last: int) -> str:
     ) + ")",
 )
 def nine_sections(t):
-    rows = cells(t)
-    out = None
-    for axis, length, low, high in (("v1", WIDTH, 0.2, 0.4), ("v2", WIDTH, 0.6, 0.8), ("h1", HEIGHT, 0.2, 0.4), ("h2", HEIGHT, 0.6, 0.8)):
-        position = F.col("x" if axis[0] == "v" else "y")
-        cuts = sm.split_points(length, low, high, step=None)
-        best = sm.best_split(rows, position, ["p"], cuts, "entropy").select(F.lit(axis).alias("axis"), "cut")
-        out = best if out is None else out.unionByName(best)
-    return out
+    axes = (("v1", "x", WIDTH, 0.2, 0.4), ("v2", "x", WIDTH, 0.6, 0.8), ("h1", "y", HEIGHT, 0.2, 0.4), ("h2", "y", HEIGHT, 0.6, 0.8))
+    searches = [(name, which, sm.split_points(length, low, high, step=None)) for name, which, length, low, high in axes]
+    return sm.best_splits(cells(t), F.col("x"), F.col("y"), ["p"], searches, "entropy").select("axis", "cut")
 
 
 def _diverse_sql() -> str:
