@@ -22,15 +22,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from ..shared import written
+from .common import documents, fold, only, remembers
 
 # Before and behind the word: the library looks for no match in the last bytes of its input.
 FRAME = bytes(range(1, 9)) + bytes(range(11, 19))
 MARKS = b".,!?;:'\"()*#$%&|"
-# Labelled rows that are learnt from, at most, and their longest text; toxic and ordinary ones.
-TOXIC_ROWS, ORDINARY_ROWS, LONGEST = 1_200, 2_000, 100_000
+# Labelled rows that are learnt from, at most, toxic and ordinary ones, and the bytes of their texts per class.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1_200, 2_000, 16 << 20
 TOXIC_BYTES, ORDINARY_BYTES = 16_384, 98_304
-LEVEL, REMEMBERED = 17, 400_000
+LEVEL, REMEMBERED = 17, 150_000
 
 
 @dataclass(frozen=True)
@@ -161,6 +162,8 @@ _windows: dict[Model, Windows] = {}
 def scores(texts: Iterable[str | None], model: Model | None) -> list[float]:
     """0 to 1 per whole text; at least 0.5 if its windows reach the thresholds, and 0 without a model."""
     out = []
+    only("toxicity")
+    remembers("toxicity", _windows.clear)
     if model is not None and model not in _windows:
         _windows.clear()
         _windows[model] = Windows(model)
@@ -171,21 +174,29 @@ def scores(texts: Iterable[str | None], model: Model | None) -> list[float]:
     return out
 
 
-def learnt_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model | None:
+def learnt_on(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """A model from labelled documents that are not held out, by crc32 of the id.
 
-    At most so many of each class, chosen by hash of the id from the labels alone; their ids are a
-    bounded table, so no text is moved but theirs. Texts over LONGEST characters are not learnt from.
+    Labels meet the documents first, and a text counts once per label, so the sample is of texts that exist. Of
+    each class at most so many rows are taken, by hash of the id, and of these, in that order, as many as have
+    `most_bytes` together; only then texts are read, of any length, and no text is moved but theirs.
     """
     marks = labels.select(F.col(key).cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.where(~fold().isin(0, -1))
-
-    def some(label: int, rows: int) -> DataFrame:
-        return marks.where(F.col("toxic") == label).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-
-    chosen = some(1, toxic_rows).unionByName(some(0, ordinary_rows))
-    found = documents(df, key, text).where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
-    rows = found.select("text", "toxic").collect()
+    marks = marks.where(~fold().isin(0, -1)).where(F.col("toxic").isin(0, 1)).distinct()
+    docs = documents(df, key, text)
+    there = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.octet_length("text").alias("bytes")).join(marks, "doc_id")
+    once = written(there.groupBy("toxic", "digest").agg(F.min("doc_id").alias("doc_id"), F.max("bytes").alias("bytes")), "labelled")
+
+    chosen = []
+    for label, rows in ((1, toxic_rows), (0, ordinary_rows)):
+        some, held = once.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows).collect(), 0
+        for row in some:
+            if held + row["bytes"] <= most_bytes:
+                held += row["bytes"]
+                chosen.append((row["doc_id"], row["digest"], label))
+    table = df.sparkSession.createDataFrame(chosen, "doc_id bigint, digest bigint, toxic int")
+    found = docs.withColumn("digest", F.xxhash64("text")).join(F.broadcast(table), ["doc_id", "digest"])
+    rows = found.select("text", "toxic").distinct().collect()
     return train([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
 
 
