@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +29,12 @@ def fold(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5, F.lit(-1))
 
 
+def named(key: Column, text: Column) -> Column:
+    """The id, or for a row without one a number from 2^62 on that is made of its text."""
+    made = F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)
+    return F.coalesce(key.cast("bigint"), made)
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
@@ -41,3 +49,40 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 8
         size = max(1, n * most // values.nbytes)
         for start in range(0, n, size):
             yield batch.slice(start, size)
+
+
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """What an operator keeps between tasks of one Python worker, and how it is dropped."""
+    _remembered[owner] = forget
+
+
+def only(owner: str | None) -> None:
+    """Drop what other operators keep in this worker; the memory goes back to the system."""
+    others = [name for name in _remembered if name != owner]
+    for name in others:
+        _remembered.pop(name)()
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
+def tidy(owner: str | None, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that keeps nothing of other operators while it runs, and gives free memory back at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(owner)
+        yield from function(batches)
+        give_back()
+
+    return run

@@ -24,10 +24,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .common import documents, small_batches
+from .common import documents, named, small_batches, tidy
 from .graph import components
 
 # Rows of a block when all pairs of a list are compared.
@@ -154,7 +155,7 @@ def fingerprints(docs: DataFrame, plan: Plan | SetPlan) -> DataFrame:
                 columns = [pa.array([fingerprint(t, plan.shingle, plan.size) for t in texts], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "fp", "keys"][: 1 + len(columns)])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp binary" + ", keys array<bigint>" * sets)
+    return docs.mapInArrow(tidy(None, run) if sets else run, "doc_id bigint, fp binary" + ", keys array<bigint>" * sets)
 
 
 def fingerprint_column(text: Column, plan: Plan | SetPlan) -> Column:
@@ -373,7 +374,7 @@ def set_classes(docs: DataFrame, prints: DataFrame, plan: SetPlan) -> DataFrame:
     # One document of each set that has met another.
     wanted = met.select("fp", F.col("node").alias("doc_id")).distinct()
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    known = texts.mapInArrow(sets, "fp binary, members binary").dropDuplicates(["fp"])
+    known = texts.mapInArrow(tidy(None, sets), "fp binary, members binary").dropDuplicates(["fp"])
     listed = met.join(known, "fp").select("key", "node", "members").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +385,7 @@ def set_classes(docs: DataFrame, prints: DataFrame, plan: SetPlan) -> DataFrame:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x[k]] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    found = components(listed.mapInArrow(run, "a bigint, b bigint"))
+    found = components(listed.mapInArrow(tidy(None, run), "a bigint, b bigint"))
     return nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
@@ -399,3 +400,18 @@ def near_duplicates(df: DataFrame, plan: Plan | SetPlan, key: str = "doc_id", te
     prints = written(fingerprints(docs, plan), "fingerprints")
     found = set_classes(docs, prints, plan) if isinstance(plan, SetPlan) else classes(prints, plan)
     return prints.join(found, "fp").select("doc_id", "fp", F.col("component").alias("component_id"))
+
+
+def survivors(df: DataFrame, plan: Plan | SetPlan, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near copies: that with the smallest id, and of rows with one id the smallest text.
+
+    A row without id has a number made of its text, larger than any id below 2^62, so that it is compared like any
+    other and goes before a row with an id does; of equal texts without id one stays. Columns may have any names.
+    """
+    rows = df.select(named(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").alias("words"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole"))
+    found = near_duplicates(rows.select("id", "words"), plan, "id", "words")
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    one = W.partitionBy("id").orderBy(F.col("words").asc_nulls_first())
+    # The ids grow with the corpus, so they are never broadcast.
+    kept = rows.join(first.hint("merge"), "id").withColumn("place", F.row_number().over(one)).where("place = 1")
+    return kept.select(*[F.col("whole")[c].alias(c) for c in df.columns])

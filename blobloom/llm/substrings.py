@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .common import documents, small_batches
+from .common import documents, named, small_batches, tidy
 
 GRAM = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ TOGETHER = 600_000
 # Different suffixes that a task gathers before it sends them.
 GATHERED = 300_000
 # Words whose hashes a task remembers.
-KNOWN = 1_000_000
+KNOWN = 250_000
 
 
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,7 +57,7 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             packed = [press(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(packed, pa.binary())], names=["doc_id", "digest", "packed"])
 
-    return docs.mapInArrow(run, "doc_id bigint, digest bigint, packed binary")
+    return docs.mapInArrow(tidy(None, run), "doc_id bigint, digest bigint, packed binary")
 
 
 def unpacked(packed: bytes) -> bytes:
@@ -202,7 +202,7 @@ def census(docs: DataFrame, window: int) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "digest", "places"])
 
     schema = "target int, n int, keys binary, low binary, high binary, steps binary, places binary, states binary"
-    return docs.mapInArrow(send, schema).groupBy("target").applyInPandas(meet, "doc_id bigint, digest bigint, places binary")
+    return docs.mapInArrow(tidy(None, send), schema).groupBy("target").applyInPandas(meet, "doc_id bigint, digest bigint, places binary")
 
 
 def _which(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def prefix_counts(candidates: DataFrame) -> np.ndarray:
         length, counter = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(length * COUNTERS + counter), pa.array(counts[length, counter])], names=["counter", "n"])
 
-    rows = candidates.mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    rows = candidates.mapInArrow(tidy(None, run), "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
     table = np.zeros(GRAM * COUNTERS, np.int64)
     for row in rows.collect():
         table[row["counter"]] = row["n"]
@@ -400,10 +400,10 @@ def repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "t
             columns = [found.docs[found.slot], found.digests[found.slot], found.places - found.starts[found.slot]]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *map(pa.array, columns)], names=["suffix", "doc_id", "digest", "place"])
 
-    dealt = candidates.mapInArrow(deal, "part bigint, left binary, right binary, low bigint, high bigint")
-    trees = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(grow, "suffix binary, minima array<bigint>")
+    dealt = candidates.mapInArrow(tidy(None, deal), "part bigint, left binary, right binary, low bigint, high bigint")
+    trees = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(None, grow), "suffix binary, minima array<bigint>")
     # One row per suffix. A passage that a third of the documents share has as many places: a skewed join, which AQE splits.
-    places = candidates.mapInArrow(occur, "suffix binary, doc_id bigint, digest bigint, place bigint").join(trees, "suffix")
+    places = candidates.mapInArrow(tidy(None, occur), "suffix binary, doc_id bigint, digest bigint, place bigint").join(trees, "suffix")
     bits = [F.when(F.col("minima")[j] < F.col("doc_id"), 1 << j).otherwise(0) for j in range(window - GRAM + 1)]
     return places.select("doc_id", "digest", "place", sum(bits[1:], bits[0]).alias("mask")).where("mask > 0")
 
@@ -457,15 +457,19 @@ def without_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "n_removed", last])
 
     last = "kept_sha256" if digests else "kept"
-    return rows.select("doc_id", "packed", "marks").mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, {last} string")
+    return rows.select("doc_id", "packed", "marks").mapInArrow(tidy(None, run), f"doc_id bigint, n_words bigint, n_removed bigint, {last} string")
 
 
 def cut_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows and columns; texts that lose words are their kept words joined by one blank, all others stay as they are."""
-    marks = marked(repeats(df, window, key, text), window)
-    marks = marks.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("marks").alias("_marks"))
-    whole, own = F.coalesce(df[text].cast("string"), F.lit("")), df[key].cast("bigint")
-    rows = df.join(marks, (own == marks["_doc"]) & (F.xxhash64(whole) == marks["_digest"]), "left")
+    """The same rows and columns; texts that lose words are their kept words joined by one blank, all others stay as they are.
+
+    A row without id has a number made of its text, larger than any id below 2^62: it loses what documents with an id
+    have, and equal texts without id are one document. Columns may have any names.
+    """
+    others = [c for c in df.columns if c != text]
+    rows = df.select(named(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"), F.col(f"`{text}`").cast("string").alias("words"), F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("rest"))
+    found = marked(repeats(rows, window, "id", "words"), window).select(F.col("doc_id").alias("id"), F.col("digest").alias("own"), F.col("marks").alias("places"))
+    rows = rows.withColumn("own", F.xxhash64(F.coalesce("words", F.lit("")))).join(found, ["id", "own"], "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -475,6 +479,6 @@ def cut_repeats(df: DataFrame, window: int = 13, key: str = "doc_id", text: str
             out.append(b" ".join(kept_words(words, None if found is None else np.asarray(found, np.int64), window)).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype="object")
 
-    some = F.col("_marks").isNotNull()
-    changed = F.when(some, cut(F.when(some, df[text].cast("string")), F.col("_marks"))).otherwise(df[text].cast("string"))
-    return rows.select(*[changed.alias(c) if c == text else df[c] for c in df.columns])
+    some = F.col("places").isNotNull()
+    changed = F.when(some, cut(F.when(some, F.col("words")), F.col("places"))).otherwise(F.col("words"))
+    return rows.select(*[changed.alias(c) if c == text else F.col("rest")[c].alias(c) for c in df.columns])

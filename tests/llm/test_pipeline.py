@@ -64,6 +64,27 @@ def test_stages(spark, folder):
     assert all(r["n_chars"] == len(r["text"]) for r in kept[2].values() if r["text"] is not None)
 
 
+def test_stages_with_clashing_names_and_rows_without_id(spark, folder):
+    """Columns that the stages might use themselves; copies among rows without id, and of them with others."""
+    path, texts, passage = folder
+    clashing = ["_row", "fp", "_fp", "_doc", "_digest", "_marks", "id", "words", "whole", "place", "own", "rest", "places", "digest", "component_id"]
+    line = " ".join(passage)
+    rows = [(i, texts[i]) for i in (21, 22, 11, 12)] + [(None, texts[21]), (None, texts[23]), (None, texts[23] + " more"), (None, line + " alone")]
+    kinds = "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"{c} string" for c in clashing)
+    docs = spark.createDataFrame([(i, t, len(t), *[f"{c}{k}" for c in clashing]) for k, (i, t) in enumerate(rows)], kinds)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == ["doc_id", "text", "n_chars", *clashing], name
+        held = docs.collect()
+        assert all(len({r[c].removeprefix(c) for c in clashing}) == 1 for r in held), name  # a row keeps its values together
+        docs = spark.createDataFrame(held, docs.schema)
+        if name == "simhash_near_dedup":
+            nameless = [r["text"] for r in held if r["doc_id"] is None]
+            assert {r["doc_id"] for r in held} == {21, 22, 11, 12, None} and len(nameless) == 2 and texts[21] not in nameless
+    left = [r["text"] for r in held if r["doc_id"] is None and r["text"].endswith("alone")]
+    assert len(left) == 1 and line not in left[0]
+
+
 def test_run(spark, folder):
     rows = all_queries()["pipeline"](spark, folder[0]).collect()
     ids = {r["doc_id"] for r in rows}
