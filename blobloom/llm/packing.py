@@ -23,9 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shared import written
-from .common import documents, small_batches
-from .units import UnitCoder
+from .common import documents, remembers, small_batches, tidy
+from .units import UnitCoder, is_word
+from .wordbpe import LONGEST, WordMerges
 
+# Codes of units that a worker remembers: two generations of each of two tables.
+REMEMBERED = 150_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -39,10 +42,22 @@ def coder(path: str) -> UnitCoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
+    merges = WordMerges(path)
+
     def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)] if units else []
+        """Words of a few letters by their merges, in step; all else by the library."""
+        words, others, out = [], [], [b""] * len(units)
+        for i, unit in enumerate(units):
+            short = len(unit) <= LONGEST // 2 and is_word(unit[1:] if unit[:1] == " " else unit)
+            (words if short else others).append(i)
+        for i, code in zip(words, merges.merge([units[i].encode() for i in words]), strict=True):
+            out[i] = code
+        found = tokenizer.encode_batch_fast([units[i] for i in others], add_special_tokens=False) if others else []
+        for i, e in zip(others, found, strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+        return out
 
-    return UnitCoder(encode)
+    return UnitCoder(encode, REMEMBERED)
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,6 +69,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: st
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("packing", coder.cache_clear)
         encode = coder(path)
         for batch in small_batches(batches, "text", 4 << 20):
             rows = []
@@ -69,7 +85,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: st
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return documents(df, key, text).mapInArrow(run, PIECES)
+    return documents(df, key, text).mapInArrow(tidy("packing", run), PIECES)
 
 
 @dataclass

@@ -66,8 +66,8 @@ class Codes:
 class UnitCoder:
     """Codes of texts: little-endian 32-bit ids as bytes. encode gives the codes of a list of units."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.plain, self.spaced = Codes(encode), Codes(encode, " ")
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
+        self.plain, self.spaced = Codes(encode, most=most), Codes(encode, " ", most)
         self.line = encode(["\n"])[0]
 
     def __call__(self, texts: list[str]) -> list[bytes]:

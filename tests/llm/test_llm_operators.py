@@ -639,3 +639,35 @@ def test_log_filter():
     small = lm.LogFilter(1, 1 << 12)
     small.bits = np.frombuffer(small.filled(grams, counts), np.uint8)
     assert (small.level(grams[counts >= np.sort(counts)[-20]]) > 0).all()
+
+
+def test_toxicity_learns_from_documents_that_exist(spark):
+    """Labels of absent documents, one text with many labels and very long texts do not use up the sample."""
+    draw = random.Random(5)
+    vocabulary = [f"{a}{b}" for a in ("wor", "lin", "ter", "mos") for b in ("da", "ke", "li", "mon", "ra")]
+    texts = [" ".join(draw.choice(vocabulary) for _ in range(60)) + (" wretch vermin dunce" if i % 2 else "") for i in range(300)]
+    texts[8] = " ".join(draw.choice(vocabulary) for _ in range(40_000))
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(1000 + i, texts[0], "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    marks = [(i, i % 2) for i in range(300)] + [(1000 + i, 0) for i in range(300)] + [(10_000 + i, 1 - i % 3 % 2) for i in range(5000)] + [(None, 1), (3, None)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    model = toxicity.learnt_on(df, labels, toxic_rows=100, ordinary_rows=100)
+    found = dict(zip(range(300), toxicity.scores(texts, model), strict=True))
+    assert all((found[i] >= 0.5) == bool(i % 2) for i in found)
+    assert toxicity.learnt_on(df, labels, most_bytes=10) is None
+
+
+def test_word_merges():
+    """Merged in step as by the library, for short words of any Latin letters and all bytes."""
+    from blobloom.llm import wordbpe
+
+    draw = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCZéüñßçÿŁžœ"
+    made = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 15))) for _ in range(3000)]
+    made += [w for w in ("the", "of", "information", "aaaaaaaaaaaaaaa", "e", "international")]
+    made += [" " + w for w in made]
+    made = [w for w in made if len(w.encode()) <= wordbpe.LONGEST]
+    tokenizer = Tokenizer.from_file(BPE)
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(made, add_special_tokens=False)]
+    assert wordbpe.WordMerges(BPE).merge([w.encode() for w in made]) == want
+    assert wordbpe.WordMerges(BPE).merge([]) == []
