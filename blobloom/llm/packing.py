@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 
 from ..shared import written
 from .common import documents, remembers, small_batches, tidy
+from .unitcodes import TextCodes
 from .units import UnitCoder, is_word
 from .wordbpe import LONGEST, WordMerges
 
-# Codes of units that a worker remembers: two generations of each of two tables.
-REMEMBERED = 150_000
+# Codes of units of odd texts that a worker remembers: two generations of each of two tables.
+REMEMBERED = 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 @lru_cache(maxsize=4)
-def coder(path: str) -> UnitCoder:
+def coder(path: str) -> TextCodes:
     """Ids of the tokenizers library, one coder per Python worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -57,7 +58,7 @@ def coder(path: str) -> UnitCoder:
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    return UnitCoder(encode, REMEMBERED)
+    return TextCodes(merges, encode, UnitCoder(encode, REMEMBERED))
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,9 +72,9 @@ def pieces(df: DataFrame, path: str, capacity: int = 1024, end: int = 2, key: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembers("packing", coder.cache_clear)
         encode = coder(path)
-        for batch in small_batches(batches, "text", 4 << 20):
+        for batch in small_batches(batches, "text", 8 << 20):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text")), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 first = (total - 1) % capacity + 1

@@ -76,27 +76,37 @@ class WordMerges:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of words of 1 to LONGEST bytes."""
-        out = [b""] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids, sizes = self.merge_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        codes, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [codes[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def merge_spans(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words data[start:start + length], one after the other, and the number of ids of each."""
+        sizes, parts = np.zeros(len(starts), np.int64), []
+        left = lengths.copy()
         for width in (4, 8, 12, 16, 24, LONGEST):
-            rows = np.flatnonzero((lengths <= width) & (lengths > 0))
-            lengths[rows] = -1
-            for s in range(0, len(rows), 1 << 14):
-                part = rows[s : s + (1 << 14)].tolist()
-                for i, codes in zip(part, self._merge([words[i] for i in part], width), strict=True):
-                    out[i] = codes
-        return out
-
-    def _merge(self, words: list[bytes], width: int) -> list[bytes]:
-        m = len(words)
-        lengths = np.fromiter(map(len, words), np.int64, m)
-        letters = np.frombuffer(b"".join([word.ljust(width) for word in words]), np.uint8).reshape(m, width)
-        symbols = np.full((m, width + 1), -1, np.int32)
-        symbols[:, :width] = np.where(np.arange(width) < lengths[:, None], self.letters[letters], -1)
-        ranks = self.pairs.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(m, width)
-        done, order = [], np.arange(m)
+            rows = np.flatnonzero((left <= width) & (left > 0))
+            left[rows] = -1
+            for at in range(0, len(rows), 1 << 14):
+                part = rows[at : at + (1 << 14)]
+                who, ids, count = self._merge(data, starts[part], lengths[part], width)
+                sizes[part[who]] = count
+                parts.append((part[who], ids, count))
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        begins = np.cumsum(sizes) - sizes
+        for rows, ids, count in parts:
+            put(flat, begins[rows], count, ids)
+        return flat, sizes
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words in the order in which they were done: which, their ids, and how many."""
         places = np.arange(width)
-        ended: list[np.ndarray] = []
+        letters = data[np.minimum(starts[:, None] + places, len(data) - 1)]
+        symbols = np.full((len(starts), width + 1), -1, np.int32)
+        symbols[:, :width] = np.where(places < lengths[:, None], self.letters[letters], -1)
+        ranks = self.pairs.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(-1, width)
+        done, ended, order = [], [], np.arange(len(starts))
         while len(order):
             at = ranks.argmin(axis=1)
             best = ranks[np.arange(len(order)), at]
@@ -117,10 +127,11 @@ class WordMerges:
             ranks[row, at] = self.pairs.rank(symbols[row, at], symbols[row, at + 1])
             before = np.flatnonzero(at > 0)
             ranks[before, at[before] - 1] = self.pairs.rank(symbols[before, at[before] - 1], symbols[before, at[before]])
-        all_, who = np.concatenate(done), np.concatenate(ended)
+        all_ = np.concatenate(done)
         alive = all_ >= 0
-        codes, ends = all_[alive].astype("<u4").tobytes(), (4 * alive.sum(axis=1).cumsum()).tolist()
-        result = [b""] * m
-        for i, a, b in zip(who.tolist(), [0, *ends[:-1]], ends, strict=True):
-            result[i] = codes[a:b]
-        return result
+        return np.concatenate(ended), all_[alive], alive.sum(axis=1)
+
+
+def put(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+    """Runs of values, one after the other, to their places in flat."""
+    flat[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(len(values))] = values

@@ -671,3 +671,18 @@ def test_word_merges():
     want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(made, add_special_tokens=False)]
     assert wordbpe.WordMerges(BPE).merge([w.encode() for w in made]) == want
     assert wordbpe.WordMerges(BPE).merge([]) == []
+
+
+def test_ids_of_texts_at_once():
+    """Distinct units in arrays give the ids of the library, in plain and odd texts, whole columns and slices."""
+    import pyarrow as pa
+
+    odd = ["×", "a × b÷ ÷c, ×.", "a, ., ,", "a\n, b.\n c", "", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a\tb c", "x, y. z.. ,.", "é Ünï ü.", "a b\xa0c"]
+    odd += ["1,2 don't", "a　b", "\n", "a, b\nc, d.\ne", "<|endoftext|> a", "中文 字", "a <|endoftext|>\nb", "word" * 20 + " x", "ÿ" * 20 + ".", "ŉ Łódź, ſ", "a\x85b", "a\x1cb"]
+    draw = random.Random(8)
+    odd += ["".join(draw.choice("ab,. \n×é\t") for _ in range(40)) for _ in range(200)]
+    tokenizer = Tokenizer.from_file(BPE)
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+    coder = packing.coder(BPE)
+    assert coder(pa.array(odd)) == want
+    assert coder(pa.array(odd)[3:9]) == want[3:9] and coder(pa.array([], pa.string())) == []
