@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blobloom.llm import bpe, fingerprints, graph, lm, media, packing, queries, simhash, substrings, tokenfiles, toxicity, units, urls
+from blobloom.llm import bpe, common, fingerprints, graph, lm, media, packing, queries, simhash, substrings, tokenfiles, toxicity, units, urls
 
 DATA = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -629,16 +629,36 @@ def test_log_filter():
     draw = np.random.default_rng(3)
     grams = np.unique(draw.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2))
     counts = draw.geometric(0.02, len(grams)).astype(np.int64)
-    one = lm.LogFilter(1, 1 << 18)
+    one = lm.LogFilter(1 << 18)
     one.bits = np.frombuffer(one.filled(grams, counts), np.uint8)
     got = one.level(grams)
     assert (got >= lm.levels(counts)).all() and (got == lm.levels(counts)).mean() > 0.95
     assert (one.level(draw.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.2
     assert lm.levels(np.array([1, 2, 3, 4, 7, 8, 2**40])).tolist() == [1, 2, 2, 3, 3, 4, 30]
-    # A segment that is too small keeps the most frequent ones.
-    small = lm.LogFilter(1, 1 << 12)
-    small.bits = np.frombuffer(small.filled(grams, counts), np.uint8)
-    assert (small.level(grams[counts >= np.sort(counts)[-20]]) > 0).all()
+    # A segment is as large as its entries ask for, and tells none of them to be unseen.
+    whole = lm.LogFilter.sized(grams, counts)
+    assert (lm.LogFilter.stored(whole.bits.tobytes()).level(grams) >= lm.levels(counts)).all()
+    assert 8 * len(whole.bits) <= lm.BITS_PER_ENTRY * lm.levels(counts).sum() + 64
+
+
+@pytest.mark.parametrize("frequent", [200_000, 20])
+def test_lm_both_ways(spark, odd, docs, monkeypatch, frequent):
+    """A filter that every worker holds and one that is asked by a shuffle give the same rows, also for another table."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
+    frame = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = lm.learnt(frame)
+    assert 0 < model.size < 8 << 20
+    for asked in (frame, common.documents(odd, "doc_id", "text")):
+        asked = asked.withColumn("held_out", F.lit(True))
+        ways = [collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in lm.scored(asked, model, megabytes=m).collect()) for m in (8, 0)]
+        assert ways[0] == ways[1] and ways[0].total() == asked.count()
+    # More text than segments are to hold: copies of them.
+    monkeypatch.setattr(lm, "SEGMENT_TEXT", 512)
+    monkeypatch.setattr(lm, "CHUNK", 10_000)
+    monkeypatch.setattr(lm, "CHUNK_PER_SEGMENT", 1)
+    asked = frame.withColumn("held_out", F.lit(True))
+    few = {r["doc_id"]: round(r["score"], 6) for r in lm.scored(asked, model, megabytes=0).collect()}
+    assert few == {r["doc_id"]: round(r["score"], 6) for r in lm.scored(asked, model).collect()}
 
 
 def test_toxicity_learns_from_documents_that_exist(spark):
