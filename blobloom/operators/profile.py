@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import small_rows, written
 from . import inplace
 from .ordered import numbered
 
@@ -247,7 +247,8 @@ def sort_by_luminance(palette: DataFrame, group: Sequence[str], index: str, lumi
 def unique_sorted_limited(df: DataFrame, columns: Sequence[str], most: int = 59) -> DataFrame:
     """Distinct rows in order; fails if there are more than `most`."""
     unique = df.select(*columns).distinct()
-    found = unique.limit(most + 1).count()
-    if found > most:
+    rows = small_rows(unique, most)
+    if rows is None:
         raise ValueError(f"more than {most} distinct values")
-    return unique.orderBy(*columns)
+    # The rows are here, so they are not computed again.
+    return df.sparkSession.createDataFrame(rows, unique.schema).orderBy(*columns)

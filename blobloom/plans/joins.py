@@ -57,9 +57,9 @@ MATCHES = """d AS (SELECT doc_id, source, text, encode(text) AS b FROM documents
            WHERE b[position + 1:position + octet_length(p)] = p)"""
 
 
-def passages(t):
+def passages(t, around=None):
     patterns = text_blobs(t.benchmark, "text", "pattern").select("item_id", "pattern")
-    return se.search_patterns(document_blobs(t), patterns, "doc_id", "content", "item_id", "pattern")
+    return se.search_patterns(document_blobs(t), patterns, "doc_id", "content", "item_id", "pattern", around=around)
 
 
 @query("jn03_search_patterns", f"WITH {MATCHES} SELECT doc_id, item_id, position FROM m")
@@ -92,9 +92,9 @@ def asset_sink(t):
 )
 def context(t):
     sizes = text_blobs(t.benchmark, "text", "pattern").select("item_id", F.octet_length("pattern").alias("size"))
-    hits = passages(t).join(sizes, "item_id").join(document_blobs(t), "doc_id")
-    hits = hits.withColumn("from_one", F.col("position") + 1)
-    out = context_window(hits, "content", "from_one", F.col("size"), 8)
+    # A hit brings what lies around it, so no document is read again.
+    hits = passages(t, around=8).join(sizes, "item_id").withColumn("from_one", F.col("near_at") + 1)
+    out = context_window(hits, "near", "from_one", F.col("size"), 8)
     return out.select("doc_id", "item_id", "position", F.hex("context").alias("context"))
 
 
@@ -103,8 +103,8 @@ def context(t):
     f"WITH {MATCHES} SELECT doc_id, item_id, position, octet_length(b) - position AS from_end FROM m",
 )
 def from_end(t):
-    sizes = document_blobs(t).select("doc_id", F.octet_length("content").alias("size"))
-    return offset_from_end(passages(t).join(sizes, "doc_id"), "position", F.col("size")).drop("size")
+    hits = offset_from_end(passages(t, around=0), "position", F.col("blob_size"))
+    return hits.select("doc_id", "item_id", "position", "from_end")
 
 
 @query(

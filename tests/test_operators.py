@@ -193,6 +193,7 @@ def test_context_is_cut(spark):
 def test_search_patterns(spark, monkeypatch, sizes, few):
     if not few:
         # As with many patterns and many candidates: nothing is broadcast by hint.
+        monkeypatch.setattr(se, "MOST_PATTERN_BYTES", 0)
         monkeypatch.setattr(se, "MOST_SEEDS", 0)
         monkeypatch.setattr(se, "MOST_CANDIDATES", 0)
     rng = random.Random(sum(sizes))
@@ -215,6 +216,30 @@ def test_search_patterns(spark, monkeypatch, sizes, few):
     assert got == sorted(want) and want
 
 
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_search_with_padding(spark, monkeypatch, most):
+    """Patterns that begin with padding, in blobs full of it: what lies around each hit, and no blob is shuffled."""
+    monkeypatch.setattr(se, "MOST_PATTERN_BYTES", most)
+    pad = bytes(300)
+    patterns = [pad + b"first mark of all", pad + b"second mark", b"\x01" * 20]
+    texts = [bytes(100_000), pad + patterns[0] + b"end", b"x" + patterns[1] + bytes(50_000), b"", None, b"\x01" * 22]
+    blobs = spark.createDataFrame([(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)], "id int, b binary")
+    known = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(patterns)], "pid int, p binary")
+    found = se.search_patterns(blobs, known, "id", "b", "pid", "p", around=5)
+    want = []
+    for i, t in enumerate(texts):
+        for j, p in enumerate(patterns):
+            for at in range(len(t or b"") - len(p) + 1):
+                if t.startswith(p, at):
+                    want.append((i, j, at, t[max(0, at - 5) : at + len(p) + 5], min(at, 5), len(t)))
+    got = sorted((r["id"], r["pid"], r["position"], bytes(r["near"]), r["near_at"], r["blob_size"]) for r in found.collect())
+    assert got == want and len(want) == 5
+    if most:
+        # Grams of padding are never what is looked up, as they are sampled often.
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "_content" not in plan
+
+
 def test_search_without_patterns(spark):
     blobs = spark.createDataFrame([(1, bytearray(b"abc"))], "id int, b binary")
     known = spark.createDataFrame([(1, bytearray(b"abc"))], "pid int, p binary")
