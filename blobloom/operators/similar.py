@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ from .profile import SCORES, spread_of
 PALETTE_SIZE = 256
 # Up to this many groups, a task holds all pair overlaps in one matrix (8 MB).
 MATRIX_GROUPS = 1_000
+# Beyond that: groups of a block, and pairs that a task adds up at once.
+BLOCK_GROUPS, PAIRS_TOGETHER = 512, 4_000_000
 
 
 # --- where to cut ---------------------------------------------------------------------------
@@ -223,8 +225,8 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
     common keys, both totals.
 
     Up to MATRIX_GROUPS groups, every task adds its keys up in one square matrix, so that no
-    row is ever made per key and pair. More groups meet in a join on the key, where the rows
-    of one key are spread over `salts` parts. Rows with a null group or key part count nowhere,
+    row is ever made per key and pair. Of more groups, blocks meet in a join on the key, where the
+    blocks of one key are spread over `salts` parts, and pairs are added up in the tasks too. Rows with a null group or key part count nowhere,
     and rows of one group and key are added up first, so both ways give the same rows.
     """
     whole = hist.dropna(subset=[group, *key]).groupBy(group, *key).agg(F.sum(count).alias(count))
@@ -232,7 +234,7 @@ def pair_overlaps(hist: DataFrame, group: str, key: Sequence[str], count: str =
     hist = written(whole, "histogram")
     rows = small_rows(hist.select(group).distinct(), MATRIX_GROUPS)
     if rows is None:
-        shared = _shared_by_join(hist, group, key, count, salts)
+        shared = _shared_by_blocks(hist, group, key, count, salts)
     else:
         names = sorted(r[0] for r in rows if r[0] is not None)
         shared = _shared_by_matrix(hist, group, key, count, names)
@@ -279,17 +281,60 @@ def _shared_by_matrix(hist: DataFrame, group: str, key: Sequence[str], count: st
     )
 
 
-def _shared_by_join(hist: DataFrame, group: str, key: Sequence[str], count: str, salts: int) -> DataFrame:
-    part = F.pmod(F.xxhash64(group), F.lit(salts)).cast("int")
+def _shared_by_blocks(hist: DataFrame, group: str, key: Sequence[str], count: str, salts: int) -> DataFrame:
+    """Blocks of groups meet per key, as lists of counts; a task adds their pairs up before it hands any on."""
+    names = hist.select(group).distinct()
+    blocks = -(-names.count() // BLOCK_GROUPS)
+    names = names.withColumn("_block", F.pmod(F.xxhash64(group), F.lit(blocks)))
+    place = F.row_number().over(W.partitionBy("_block").orderBy(group))
+    names = written(names.withColumn("_id", F.shiftleft(F.col("_block"), 32) + place), "groups")
+    cells = F.collect_list(F.struct(F.col("_id").alias("g"), F.col(count).cast("bigint").alias("c")))
+    # A list is as long as a block has groups, at most.
+    lists = hist.join(names, group).groupBy(*key, "_block").agg(cells.alias("_cells"))
+    part = F.pmod(F.xxhash64("_block"), F.lit(salts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    one = hist.select(*key, F.col(group).alias("a"), F.col(count).alias("_ca"), every.alias("_salt"))
-    two = hist.select(*key, F.col(group).alias("b"), F.col(count).alias("_cb"), part.alias("_salt"))
-    return (
-        one.join(two, [*key, "_salt"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy("a", "b")
-        .agg(F.sum(F.least("_ca", "_cb")).alias("shared"), F.count("*").alias("common_keys"))
-    )
+    one = lists.select(*key, F.col("_block").alias("_one"), F.col("_cells").alias("left"), every.alias("_salt"))
+    two = lists.select(*key, F.col("_block").alias("_two"), F.col("_cells").alias("right"), part.alias("_salt"))
+    met = one.join(two, [*key, "_salt"]).where(F.col("_one") <= F.col("_two")).select("left", "right")
+    sums = met.mapInArrow(_add_pairs, "i bigint, j bigint, s bigint, n bigint").groupBy("i", "j").agg(F.sum("s").alias("shared"), F.sum("n").alias("common_keys"))
+    first = names.select(F.col("_id").alias("i"), F.col(group).alias("_a"))
+    second = names.select(F.col("_id").alias("j"), F.col(group).alias("_b"))
+    both = sums.join(first, "i").join(second, "j")
+    return both.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "shared", "common_keys")
+
+
+def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of two lists of (group, count): the sum of the smaller counts and the number of keys for each pair of
+    groups, one row per pair and some PAIRS_TOGETHER of what is added up."""
+    for batch in batches:
+        sides = []
+        for column in batch.columns:
+            ends = column.offsets.to_numpy().astype(np.int64)
+            flat = column.flatten()
+            sides.append((ends[:-1] - ends[0], np.diff(ends), flat.field("g").to_numpy(), flat.field("c").to_numpy()))
+        (left_at, left_n, left_g, left_c), (right_at, right_n, right_g, right_c) = sides
+        pairs = left_n * right_n
+        total = np.cumsum(pairs)
+        start = 0
+        while start < len(pairs):
+            stop = max(start + 1, int(np.searchsorted(total, total[start] - pairs[start] + PAIRS_TOGETHER, "right")))
+            n = pairs[start:stop]
+            row = np.repeat(np.arange(start, stop), n)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = left_at[row] + within // right_n[row], right_at[row] + within % right_n[row]
+            start = stop
+            once = left_g[i] < right_g[j]
+            i, j = i[once], j[once]
+            if not len(i):
+                continue
+            ones, a = np.unique(left_g[i], return_inverse=True)
+            twos, b = np.unique(right_g[j], return_inverse=True)
+            pair = a * len(twos) + b
+            order = np.argsort(pair, kind="stable")
+            found, first = np.unique(pair[order], return_index=True)
+            smaller = np.minimum(left_c[i], right_c[j])[order]
+            columns = [ones[found // len(twos)], twos[found % len(twos)], np.add.reduceat(smaller, first), np.diff(np.append(first, len(order)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["i", "j", "s", "n"])
 
 
 def weighted_jaccard(hist: DataFrame, group: str, key: Sequence[str], count: str = "cnt") -> DataFrame:

@@ -702,6 +702,38 @@ def test_overlaps_both_ways_with_nulls_and_repeats(spark, monkeypatch):
     assert set(map(tuple, similar.pair_overlaps(hist, "g", ["k"]).collect())) == want
 
 
+def test_overlaps_of_blocks(spark, monkeypatch):
+    """More groups than a block takes, a key that all of them have, and pairs that are added up in several turns."""
+    from blobloom.operators import similar
+
+    monkeypatch.setattr(similar, "MATRIX_GROUPS", 10)
+    monkeypatch.setattr(similar, "BLOCK_GROUPS", 7)
+    draw = random.Random(5)
+    counts = {f"g{g}": {0: draw.randint(1, 9), **{draw.randint(1, 40): draw.randint(1, 9) for _ in range(6)}} for g in range(60)}
+    counts["alone"] = {99: 3}
+    hist = spark.createDataFrame([(g, k, n) for g, c in counts.items() for k, n in c.items()], "g string, k int, cnt int")
+    want = set()
+    for a, b in itertools.combinations(sorted(counts), 2):
+        common = counts[a].keys() & counts[b].keys()
+        if common:
+            want.add((a, b, sum(min(counts[a][k], counts[b][k]) for k in common), len(common), sum(counts[a].values()), sum(counts[b].values())))
+    found = list(map(tuple, similar.pair_overlaps(hist, "g", ["k"]).collect()))
+    assert set(found) == want and len(found) == len(want) == 60 * 59 // 2
+
+
+def test_add_pairs_in_turns(monkeypatch):
+    import pyarrow as pa
+
+    from blobloom.operators import similar
+
+    monkeypatch.setattr(similar, "PAIRS_TOGETHER", 3)
+    cells = [[{"g": 1, "c": 2}, {"g": 2, "c": 5}], [], [{"g": 1, "c": 4}, {"g": 2, "c": 1}, {"g": 3, "c": 1}]]
+    kind = pa.list_(pa.struct([("g", pa.int64()), ("c", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *cells][1:], kind)] * 2, names=["left", "right"])
+    got = [tuple(r.values()) for out in similar._add_pairs([batch.slice(0, 1), batch.slice(1)]) for r in out.to_pylist()]
+    assert sorted(got) == [(1, 2, 1, 1), (1, 2, 2, 1), (1, 3, 1, 1), (2, 3, 1, 1)]
+
+
 def test_sticky_state_with_null_positions_hot_or_not(spark):
     from pyspark.sql import functions as F
 
