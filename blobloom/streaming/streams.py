@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.sequence import gap_groups
-from ..shared import new_folder
+from ..shared import new_folder, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Awaited names that share one state.
+GROUP_NAMES = 1_024
 
 
 def read_stream(spark: SparkSession, folder: str, file_name: str, schema) -> DataFrame:
@@ -141,66 +143,105 @@ def run_updates(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame
 
 
 class ManifestCheck(StatefulProcessor):
-    """State per name: what is expected of it, until its status is told once.
+    """State per group of names: what is expected of each, until its status is told once.
 
-    An expected row comes as initial state and sets a timer. The first arrival in time is compared with it; if
-    the timer is first, the name is missing. Either clears the state, so whatever comes later is silent.
+    The expected rows of a group come as one initial state. The first arrival of a name in time is compared with
+    it; a name whose deadline the watermark has reached before is missing. Either takes the name out of the state, so
+    whatever comes later is silent. The group's one timer stands at the earliest deadline that is left. What a call
+    tells is one row of arrays.
     """
 
-    def __init__(self, names: T.StructType, value: T.DataType):
-        self.names, self.value = names.fieldNames(), value
+    def __init__(self, name: T.DataType, value: T.DataType):
+        self.name, self.value = name, value
 
     def init(self, handle) -> None:
         self.handle = handle
-        kinds = [T.StructField("expected", self.value), T.StructField("deadline", T.LongType())]
-        self.awaited = handle.getValueState("awaited", T.StructType(kinds))
+        kinds = {"names": T.ArrayType(self.name), "expected": T.ArrayType(self.value), "deadlines": T.ArrayType(T.LongType()), "timer": T.LongType()}
+        self.awaited = handle.getValueState("awaited", T.StructType([T.StructField(n, kind) for n, kind in kinds.items()]))
+
+    def held(self) -> tuple[dict, int | None]:
+        """(expected, deadline) by name, and the time of the timer."""
+        if not self.awaited.exists():
+            return {}, None
+        names, expected, deadlines, timer = self.awaited.get()
+        return dict(zip(names, zip(expected, deadlines, strict=True), strict=True)), timer
+
+    def keep(self, held: dict, timer: int | None) -> None:
+        """Store what is still awaited, and move the timer."""
+        soonest = min((deadline for _, deadline in held.values() if deadline is not None), default=None)
+        if timer is not None and timer != soonest:
+            self.handle.deleteTimer(timer)
+        if soonest is not None and timer != soonest:
+            self.handle.registerTimer(soonest)
+        if held:
+            self.awaited.update((list(held), [e for e, _ in held.values()], [d for _, d in held.values()], soonest))
+        else:
+            self.awaited.clear()
 
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.awaited.update((initialState["expected"], initialState["deadline"]))
-        self.handle.registerTimer(initialState["deadline"])
+    def told(self, rows: list[tuple]) -> Iterator[Row]:
+        return iter([Row("name", "expected", "actual", "status")(*[list(c) for c in zip(*rows, strict=True)])] if rows else [])
 
-    def told(self, key, expected, actual, status: str) -> Row:
-        return Row(*self.names, "expected", "actual", "status")(*key, expected, actual, status)
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.keep({h["name"]: (h["expected"], h["deadline"]) for h in initialState["held"]}, None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = min(rows, key=lambda r: (r["at"], r["actual"] is not None, r["actual"]))
-        if self.awaited.exists():
-            expected, deadline = self.awaited.get()
-            if first["at"] > deadline:
-                return  # as late as if the timer had been first
-            self.awaited.clear()
-            self.handle.deleteTimer(deadline)
-            yield self.told(key, expected, first["actual"], "ok" if expected == first["actual"] else "mismatch")
+        held, timer = self.held()
+        first = {}
+        for r in rows:
+            _, name, _, actual, at = r  # by place, as a row's columns are slow to find by name
+            if name in held:
+                arrival = (at is None, at, actual is not None, actual)
+                if name not in first or arrival < first[name]:
+                    first[name] = arrival
+        told = []
+        for name, (_, at, _, actual) in first.items():
+            expected, deadline = held[name]
+            if at is not None and deadline is not None and at > deadline:
+                continue  # as late as if the timer had been first
+            del held[name]
+            told.append((name, expected, actual, "ok" if expected == actual else "mismatch"))
+        if told:
+            self.keep(held, timer)
+        return self.told(told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.awaited.exists():
-            expected, _ = self.awaited.get()
-            self.awaited.clear()
-            yield self.told(key, expected, None, "missing")
+        held, _ = self.held()
+        mark = timerValues.getCurrentWatermarkInMs()
+        late = [name for name, (_, deadline) in held.items() if deadline is not None and deadline <= mark]
+        told = [(name, held.pop(name)[0], None, "missing") for name in late]
+        self.keep(held, None)  # the timer that fired goes by itself
+        return self.told(told)
 
     def close(self) -> None:
         pass
 
 
-def check_arrivals(arrivals: DataFrame, expected: DataFrame, name: str, value: str, time: str, deadline: str, delay: str, label: str) -> DataFrame:
+def check_arrivals(
+    arrivals: DataFrame, expected: DataFrame, name: str, value: str, time: str, deadline: str, delay: str, label: str, group: int = GROUP_NAMES
+) -> DataFrame:
     """One status for each expected row, whatever the number of batches: (name, expected, actual, status).
 
     arrivals: stream of (name, value, time). expected: (name, value, deadline), one row per name, the
     deadline in milliseconds since 1970. The first arrival of a name that is not behind its deadline gives ok or
     mismatch (the earliest of a batch, then the least value). A name is missing when the watermark, the latest time
-    less `delay`, passes its deadline; later and repeated arrivals, those older than the watermark and unexpected
-    ones are silent.
+    less `delay`, reaches its deadline; later and repeated arrivals, those older than the watermark and unexpected
+    ones are silent. An arrival without time is never late, a name without deadline never missing.
     What the watermark has not reached is pending; without any file that is all.
+
+    Names share their state by hash, about `group` of them: a call into the state costs as much for one name as for
+    many. A batch writes the state of each group again in which it tells something.
     """
     spark = arrivals.sparkSession
-    rows = arrivals.select(name, instant(arrivals, time).alias("time"), F.col(value).alias("actual")).withWatermark("time", delay)
-    rows = rows.withColumn("at", F.unix_millis("time"))
-    awaited = expected.select(name, F.col(value).alias("expected"), F.col(deadline).cast("bigint").alias("deadline"))
-    kind = awaited.schema["expected"].dataType
-    names = T.StructType([awaited.schema[name]])
-    schema = T.StructType([*names.fields, T.StructField("expected", kind), T.StructField("actual", rows.schema["actual"].dataType), T.StructField("status", T.StringType())])
-    check = ManifestCheck(names, kind)
-    told = rows.groupBy(name).transformWithState(check, schema, "append", "eventTime", awaited.groupBy(name))
+    awaited = written(expected.select(F.col(name).alias("name"), F.col(value).alias("expected"), F.col(deadline).cast("bigint").alias("deadline")), label)
+    groups = F.lit(awaited.count() // group + 1)
+    of = F.pmod(F.xxhash64("name"), groups).alias("_group")
+    rows = arrivals.select(F.col(name).alias("name"), instant(arrivals, time).alias("time"), F.col(value).alias("actual")).withWatermark("time", delay)
+    rows = rows.select(of, "name", "time", "actual", F.unix_millis("time").alias("at"))
+    states = awaited.groupBy(of).agg(F.collect_list(F.struct("name", "expected", "deadline")).alias("held"))
+    kinds = {"name": awaited.schema["name"].dataType, "expected": awaited.schema["expected"].dataType, "actual": rows.schema["actual"].dataType, "status": T.StringType()}
+    schema = T.StructType([T.StructField(n, T.ArrayType(kind)) for n, kind in kinds.items()])
+    told = rows.groupBy("_group").transformWithState(ManifestCheck(kinds["name"], kinds["expected"]), schema, "append", "eventTime", states.groupBy("_group"))
+    told = told.select(F.inline(F.arrays_zip(*kinds)))
     # User-defined state with timers needs this store.
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
@@ -209,7 +250,6 @@ def check_arrivals(arrivals: DataFrame, expected: DataFrame, name: str, value: s
         told = run_to_end(told, label)
     finally:
         spark.conf.set(setting, before)
-    pending = awaited.join(told, name, "left_anti")
-    return told.unionByName(
-        pending.select(name, "expected", F.lit(None).cast(schema["actual"].dataType).alias("actual"), F.lit("pending").alias("status"))
-    )
+    pending = awaited.join(told.select(F.col("name").alias("_told")), F.col("name").eqNullSafe(F.col("_told")), "left_anti")
+    pending = pending.select("name", "expected", F.lit(None).cast(kinds["actual"]).alias("actual"), F.lit("pending").alias("status"))
+    return told.unionByName(pending).withColumnRenamed("name", name)

@@ -65,6 +65,56 @@ def test_one_status_per_name_over_all_batches(spark, tmp_path):
     )
 
 
+def statuses(spark, folder, batches, rows, delay="10 minutes", **options):
+    expected = spark.createDataFrame([(n, v, None if m is None else millis(m)) for n, v, m in rows], "name string, value bigint, deadline bigint")
+    told = streams.check_arrivals(arriving(spark, folder, batches), expected, "name", "value", "ts", "deadline", delay, "told", **options)
+    return sorted((tuple(r) for r in told.collect()), key=str)
+
+
+def test_names_share_state_and_timers(spark, tmp_path, monkeypatch):
+    """A call into the state and a timer for each name took a millisecond of a core a name."""
+    ended = []
+    has_read = streams.has_read
+    monkeypatch.setattr(streams, "has_read", lambda query: ended.append(query) or has_read(query))
+    rows = [(f"n{i}", i, 100 + i % 700) for i in range(3000)]
+    batches = [[(f"n{i}", i + i % 2, i % 90) for i in range(1500)], [("clock", 0, 310)]]
+    found = statuses(spark, tmp_path / "in", batches, rows)
+    expected = [(n, i, i + i % 2, "mismatch" if i % 2 else "ok") for i, (n, *_) in enumerate(rows[:1500])]
+    expected += [(n, i, None, "missing" if m <= 300 else "pending") for n, i, m in rows[1500:]]
+    assert found == sorted(expected, key=str)
+    metrics = [p["stateOperators"][0]["customMetrics"] for p in ended[0].recentProgress if p["stateOperators"]]
+    assert 0 < sum(m["numRegisteredTimers"] for m in metrics) < 30
+
+
+@pytest.mark.parametrize("group", [1, 3, 1024])
+def test_names_of_one_group(spark, tmp_path, group):
+    """The timer moves on as names are told; a deadline that the watermark just reaches is over; repeated, late and unknown names are silent."""
+    rows = [("a", 1, 10), ("b", 2, 20), ("c", 3, 30), ("d", 4, 40), ("e", 5, 60), ("f", 6, 61)]
+    batches = [
+        [("a", 1, 5), ("c", 0, 9), ("x", 1, 9)],
+        [("a", 7, 8), ("clock", 0, 45)],  # the watermark comes to 35
+        [("b", 2, 21), ("c", 3, 44), ("d", 4, 50)],
+        [("d", 4, 40), ("b", 2, 20), ("clock", 0, 70)],  # and to 60
+    ]
+    assert statuses(spark, tmp_path / "in", batches, rows, group=group) == [
+        ("a", 1, 1, "ok"),
+        ("b", 2, None, "missing"),
+        ("c", 3, 0, "mismatch"),
+        ("d", 4, 4, "ok"),  # the arrival behind its deadline is silent, the one in time comes a batch later
+        ("e", 5, None, "missing"),
+        ("f", 6, None, "pending"),
+    ]
+
+
+def test_missing_values_of_a_manifest(spark, tmp_path):
+    """Without deadline a name is never missing, without time an arrival is never late; a name that is null has one status."""
+    rows = [("open", 1, None), ("timeless", 2, 5), ("both", 3, None), (None, 4, 20), ("gone", 5, 20)]
+    batches = [[("timeless", 2, None), ("timeless", 9, None), ("both", 0, None), ("clock", 0, 90)]]
+    assert statuses(spark, tmp_path / "in", batches, rows) == sorted(
+        [("open", 1, None, "pending"), ("timeless", 2, 2, "ok"), ("both", 3, 0, "mismatch"), (None, 4, None, "missing"), ("gone", 5, None, "missing")], key=str
+    )
+
+
 def test_arrivals_without_a_file(spark, tmp_path):
     told = streams.check_arrivals(arriving(spark, tmp_path / "in", []), manifest(spark, EXPECTED), "name", "value", "ts", "deadline", "10 minutes", "told")
     assert sorted((r["name"], r["status"]) for r in told.collect()) == sorted((n, "pending") for n, *_ in EXPECTED)
